@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.llm import packing, rans, simhash_dedup
+from formlake.llm import chat_format, packing, quality_rules, rans, simhash_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    failed = ~quality_rules.passes(quality_rules.BASE)
+    return rows.withColumns({"base_failed": failed, "kept": ~failed & quality_rules.passes(quality_rules.CURRENT)})
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = rans.new_token_file(spark)
     rans.write_token_file(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), end_id=2)
@@ -27,6 +33,22 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_token_file(spark, path).select("doc_id", "start", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(*extra.columns).unionByName(extra)
+    out = chat_format.format_chats(rows).withColumns({"turns": chat_format.read_turns(), "loss": chat_format.read_loss_text()})
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
