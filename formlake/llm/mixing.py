@@ -181,12 +181,12 @@ def mixed_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     All columns pass through. Rows of one id are told apart by their size; of
     rows without an id none is taken.
     """
-    taken = mix(docs, text=text, id_col=id_col, **how).filter("taken > 0").groupBy(id_col, "size").agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
-    taken = taken.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), (F.col("_taken") / F.col("_rows")).cast("long").alias("_taken"))
-    sized = docs.withColumn("_words", word_count(F.col(text)))
-    joined = sized.join(taken, (F.col(id_col) == F.col("_id")) & (F.col("_words") == F.col("_size")))
-    full, rest = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
-    uses = joined.withColumn("_part", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
+    taken = mix(docs, text=text, id_col=id_col, **how).filter("taken > 0").groupBy(id_col, "size").agg(F.sum("taken").alias("__taken__"), F.count("*").alias("__rows__"))
+    taken = taken.select(F.col(id_col).alias("__id__"), F.col("size").alias("__size__"), (F.col("__taken__") / F.col("__rows__")).cast("long").alias("__taken__"))
+    sized = docs.withColumn("__words__", word_count(F.col(text)))
+    joined = sized.join(taken, (F.col(id_col) == F.col("__id__")) & (F.col("__words__") == F.col("__size__")))
+    full, rest = F.floor(F.col("__taken__") / F.col("__size__")), F.col("__taken__") % F.col("__size__")
+    uses = joined.withColumn("__part__", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
     # pieces of a word with the blanks before it
-    head = F.array_join(F.slice(F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("_part").cast("int")), "")
-    return uses.withColumn(text, F.when(F.col("_part") > 0, head).otherwise(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    head = F.array_join(F.slice(F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("__part__").cast("int")), "")
+    return uses.withColumn(text, F.when(F.col("__part__") > 0, head).otherwise(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns])

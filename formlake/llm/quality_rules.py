@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -101,6 +102,12 @@ def _letters(text: str) -> int:
     return int((((codes | 32) - 97 < 26) | (codes > 127)).sum())
 
 
+def _measured(texts: pa.Array) -> list[pa.Array]:
+    rows = [measure(x or "") for x in texts.to_pylist()]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_MEASURES)
+    return [pa.array(c, pa.int64()) for c in columns]
+
+
 def ledger(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rules: dict[str, str] | None = None) -> DataFrame:
     """One row per input row: id, measurements (long), and ``failed``, the bits of the failed rules.
 
@@ -113,9 +120,7 @@ def ledger(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rules: d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [measure(x or "") for x in b.column(1).to_pylist()]
-            columns = zip(*rows, strict=True) if rows else [[]] * len(_MEASURES)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", *_MEASURES])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_measured(b.column(1))], names=["id", *_MEASURES])
 
     measured = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{m} long" for m in _MEASURES))
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(0).cast("long") for k, rule in enumerate((rules or RULES).values())]
@@ -127,27 +132,17 @@ def passes(policy: Policy, failed: str = "failed") -> Column:
     return F.col(failed).bitwiseAND(F.lit(policy.mask)) == 0
 
 
-def keep(docs: DataFrame, policy: Policy = CURRENT, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that pass, all columns; the text is measured beside its row, so nothing is joined."""
+def keep(docs: DataFrame, policy: Policy = CURRENT, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, all columns, whatever their names; the text is measured beside its row, so nothing is joined."""
+    rows = docs.select(F.struct("*").alias("doc"), F.col(text).cast("string").alias("t"))
+    measured = StructType([rows.schema["doc"], *(StructField(m, LongType()) for m in _MEASURES)])
 
-    def verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [measure(x or "") for x in b.column(b.schema.names.index(text)).cast(pa.string()).to_pylist()]
-            columns = zip(*rows, strict=True) if rows else [[]] * len(_MEASURES)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*b.schema.names, *hidden])
-
-    hidden = [f"_rule_{m}" for m in _MEASURES]
-    wide = docs.mapInArrow(verdict, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + ", ".join(f"{m} long" for m in hidden))
-    conditions = [RULES[r] for r in policy.rules]
-    for m in _MEASURES:
-        conditions = [_rename(c, m) for c in conditions]
-    return wide.filter(" and ".join(f"not ({c})" for c in conditions)).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _rename(condition: str, measure_name: str) -> str:
-    import re
+            yield pa.RecordBatch.from_arrays([b.column(0), *_measured(b.column(1))], names=["doc", *_MEASURES])
 
-    return re.sub(rf"\b{measure_name}\b", f"_rule_{measure_name}", condition)
+    kept = " and ".join(f"not ({RULES[r]})" for r in policy.rules)
+    return rows.mapInArrow(run, measured).filter(kept).select("doc.*")
 
 
 def ablations(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:

@@ -269,6 +269,6 @@ def keep_one_per_group(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     A row without an id cannot be named as the copy of another and stays.
     """
     groups = near_duplicates(docs, text, id_col, words, radius)
-    keep = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep"))
-    kept = docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    keep = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep__"))
+    kept = docs.join(keep, F.col(id_col) == F.col("__keep__"), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
