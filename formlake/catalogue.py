@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from formlake.plans import cell_queries, join_queries, order_queries, parse_queries, rule_queries, signal_queries  # noqa: F401
+from formlake.plans.cell_queries import flagship
+from formlake.plans.registry import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["flagship", "oracle_sql", "queries"]
