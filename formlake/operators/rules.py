@@ -54,8 +54,9 @@ def street_suffix(c: Column, suffixes: Sequence[str], ratio: float = 0.34) -> Co
     """The end of a street name corrected to a known suffix: the last hyphen part whole, else a trailing stretch.
 
     Limit: the suffix length times ``ratio``, halves to even, one at least. The
-    nearest suffix wins, then the one earlier in the list, then the shorter
-    stretch. After a hyphen it is capitalised.
+    nearest suffix wins, then the one earlier in the list, then a stretch as
+    long as the suffix, then the shorter one. After a hyphen it is capitalised,
+    else in lower case.
     """
     v = F.trim(c)
     last = F.element_at(F.split(v, "-"), -1)
@@ -63,12 +64,12 @@ def street_suffix(c: Column, suffixes: Sequence[str], ratio: float = 0.34) -> Co
     options = []
     for k, s in enumerate(suffixes):
         n, most = len(s), max(1, round(ratio * len(s)))
-        for w in (n - 1, n, n + 1):
+        for rank, w in enumerate((n, n - 1, n + 1)):
             tail = F.right(v, F.lit(w))
             d = F.levenshtein(F.lower(tail), F.lit(s.lower()))
-            options.append(F.when(~hyphen & (F.length(v) > w) & (d <= most), F.struct(d.alias("d"), F.lit(k).alias("k"), F.lit(w).alias("w"))))
+            options.append(F.when(~hyphen & (F.length(v) >= max(1, w)) & (d <= most), F.struct(d.alias("d"), F.lit(k).alias("k"), F.lit(rank).alias("r"), F.lit(w).alias("w"))))
         d = F.levenshtein(F.lower(last), F.lit(s.lower()))
-        options.append(F.when(hyphen & (d <= most), F.struct(d.alias("d"), F.lit(k).alias("k"), F.length(last).alias("w"))))
+        options.append(F.when(hyphen & (d <= most), F.struct(d.alias("d"), F.lit(k).alias("k"), F.lit(0).alias("r"), F.length(last).alias("w"))))
     best = F.array_min(F.filter(F.array(*options), lambda o: o.isNotNull()))
     names = F.array(*map(F.lit, suffixes))
     found = F.get(names, best["k"])
