@@ -3,14 +3,13 @@
 Writing goes in four Spark steps: tokenise into a work table; count every id
 of the whole corpus (at most one row per vocabulary entry reaches the driver);
 encode each document in independent blocks against the shared frequency table;
-deal the blocks out by ranges of the document id and write them in order.
+deal the documents out by ranges of the id and write them in order.
 Only encoded bytes are shuffled.
 
 The format is a folder with two Parquet tables. ``tables`` holds the frequency
-table (one row). ``blocks`` holds one row per block: ``part`` and ``offset``
-(ids before the block in its part), the document's id and row number, the
-block's number, the document's number of blocks, the block's number of ids, and
-``payload``:
+table (one row). ``documents`` holds one row per document: ``part`` and
+``offset`` (ids before the document in its part), the document's id and its
+number of ids, and ``blocks``, an array of:
 
     magic 'RNS1' | u32 ids | u16 lanes | u16 steps between checkpoints |
     u32 words | u32 crc32 of the ids | u32 crc32 of what follows |
@@ -30,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +39,7 @@ BLOCK = 1 << 16
 LANE = 512
 CHECK = 256
 SCALE = 20
-_COLUMNS = "doc_id long, doc_row long, block int, n_blocks int, n_ids long, payload binary"
+_COLUMNS = "doc_id long, n_ids long, blocks array<binary>"
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sIHHIII")
 _U32, _U64 = np.uint64(32), np.uint64(SCALE)
@@ -231,10 +229,10 @@ def _counts(tokens: DataFrame, kind: str, size: int) -> DataFrame:
 def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", id_col: str = "doc_id", parts: int | None = None) -> None:
     """Encode every whole text, append ``end_id``, and write the format to ``path``.
 
-    Blocks lie in ascending order of the id (a null id first). Null and empty
+    Documents lie in ascending order of the id (a null id first). Null and empty
     texts are the end id alone. Rows that repeat an id are all written, in no
     stated order among themselves. An empty table gives a folder without
-    blocks. ``tokenizer``: path of a tokenizers file, readable on executors.
+    documents. ``tokenizer``: path of a tokenizers file, readable on executors.
     ``parts``: number of files, by default spark.sql.shuffle.partitions.
     """
     spark = docs.sparkSession
@@ -247,89 +245,72 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, te
     shared = spark.sparkContext.broadcast(freq)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held, row = 0, TaskContext.get().partitionId() << 40
-
-        def flush() -> pa.RecordBatch:
-            payload = encode_blocks([r[4] for r in rows], shared.value)
-            cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
-            cols += [pa.array([len(r[4]) for r in rows], pa.int64()), pa.array(payload, pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _COLUMNS.split(", ")])
-
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(ids, kind)
-                rows += [(doc, row, k, -(-len(ids) // BLOCK), ids[at : at + BLOCK]) for k, at in enumerate(range(0, len(ids), BLOCK))]
-                held, row = held + len(ids), row + 1
-                if held >= 1 << 21:
-                    yield flush()
-                    rows, held = [], 0
-        if rows:
-            yield flush()
+            sizes = np.cumsum([len(x) for x in b.column(1).to_pylist()]) // np.dtype(kind).itemsize
+            for some in _cuts(b, sizes):
+                ids = [np.frombuffer(x, kind) for x in some.column(1).to_pylist()]
+                payload = iter(encode_blocks([x[at : at + BLOCK] for x in ids for at in range(0, len(x), BLOCK)], shared.value))
+                blocks = [[next(payload) for _ in range(0, len(x), BLOCK)] for x in ids]
+                columns = [some.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(blocks, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_ids", "blocks"])
 
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = tokens.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
     cuts = sorted(set(cuts)) if n > 1 else []
     at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
     at = F.when(F.col("doc_id").isNull(), 0).otherwise(at).cast("int")
-    blocks = tokens.mapInArrow(encode, _COLUMNS).withColumn("part", at)
-    dealt = blocks.repartitionById(n, "part").sortWithinPartitions("part", "doc_id", "doc_row", "block")
+    coded = tokens.mapInArrow(encode, _COLUMNS).withColumn("part", at)
+    dealt = coded.repartitionById(n, "part").sortWithinPartitions("part", "doc_id")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, offset = None, 0
         for b in batches:
-            sizes, where = b.column("n_ids").to_numpy(), b.column("part").to_pylist()
             offsets = []
-            for p, s in zip(where, sizes.tolist(), strict=True):
+            for p, n_ids in zip(b.column("part").to_pylist(), b.column("n_ids").to_pylist(), strict=True):
                 if p != part:
                     part, offset = p, 0
                 offsets.append(offset)
-                offset += s
+                offset += n_ids
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(offsets, pa.int64())], names=[*b.schema.names, "offset"])
 
     out = dealt.mapInArrow(numbered, f"{_COLUMNS}, part int, offset long")
-    out.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    out.write.option("compression", "uncompressed").parquet(f"{path}/documents")
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, doc_row, block, n_blocks, start, ids): ``start`` is the number of ids before the block in the file.
+def read_token_file(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, ids): one row per document, its ids as little-endian unsigned 32-bit integers.
 
-    Blocks are decoded independently of one another; a damaged one raises an error.
+    ``start``: ids of all documents before it in the file. Documents, and the
+    blocks of each, are decoded independently of one another; a damaged one
+    raises an error.
     """
     freq = np.frombuffer(spark.read.parquet(f"{path}/tables").first()["frequencies"], np.uint32)
-    shared = spark.sparkContext.broadcast(freq)
-    blocks = spark.read.schema(f"{_COLUMNS}, part int, offset long").parquet(f"{path}/blocks")
+    docs = spark.read.schema(f"{_COLUMNS}, part int, offset long").parquet(f"{path}/documents")
+    totals = sorted(docs.groupBy("part").agg(F.sum("n_ids")).collect())  # a row per file of the format
+    bases = dict(zip([t[0] for t in totals], np.cumsum([0] + [t[1] for t in totals]).tolist(), strict=False))
+    shared = spark.sparkContext.broadcast((freq, bases))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = shared.value
+        freq, bases = shared.value
         symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
         for b in batches:
-            sizes = np.cumsum(b.column("n_ids").to_numpy())
-            at = 0
-            while at < b.num_rows:
-                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 21), "right")))
-                some = b.slice(at, stop - at)
-                ids = [x.astype("<u4").tobytes() for x in decode_blocks(some.column("payload").to_pylist(), freq, symbol)]
-                yield pa.RecordBatch.from_arrays([*some.columns[:6], pa.array(ids, pa.binary())], names=[*some.schema.names[:6], "ids"])
-                at = stop
-
-    ids = blocks.select("doc_id", "doc_row", "block", "n_blocks", "part", "offset", "n_ids", "payload")
-    ids = ids.mapInArrow(decode, "doc_id long, doc_row long, block int, n_blocks int, part int, offset long, ids binary")
-    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per file
-    before = F.expr("sum(n) over (order by part rows between unbounded preceding and 1 preceding)")
-    bases = totals.select(F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("base"))
-    return ids.join(bases, F.col("part") == F.col("p")).select("doc_id", "doc_row", "block", "n_blocks", (F.col("base") + F.col("offset")).alias("start"), "ids")
-
-
-def read_token_file(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids): one row per document, its ids as little-endian unsigned 32-bit integers.
-
-    Only documents of several blocks are put together by a shuffle.
-    """
-    blocks = read_blocks(spark, path)
-    parted = blocks.filter("n_blocks > 1").groupBy("doc_row").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.array_sort(F.collect_list(F.struct("block", "ids"))).alias("blocks"))
-    joined = F.aggregate("blocks", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    return blocks.filter("n_blocks = 1").select("doc_id", "start", "ids").unionByName(parted.select("doc_id", "start", joined.alias("ids")))
+            for some in _cuts(b, np.cumsum(b.column("n_ids").to_numpy())):
+                blocks = some.column("blocks").to_pylist()
+                decoded = iter(decode_blocks([x for doc in blocks for x in doc], freq, symbol))
+                ids = [b"".join(next(decoded).astype("<u4").tobytes() for _ in doc) for doc in blocks]
+                start = [bases[p] + o for p, o in zip(some.column("part").to_pylist(), some.column("offset").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(start, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
+
+    return docs.select("doc_id", "n_ids", "blocks", "part", "offset").mapInArrow(decode, "doc_id long, start long, ids binary")
+
+
+def _cuts(batch: pa.RecordBatch, sizes: np.ndarray, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` ids, one row at least; ``sizes``: ids up to and with each row."""
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def new_token_file(spark: SparkSession) -> str:
