@@ -86,5 +86,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+_BLANK = r"[^\x20\x09-\x0D]"
+
+_OP3 = """with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings where vec_id is not null and embedding is not null
+and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select * from r where rank <= 20"""
+
+_OP4 = (
+    rf"""with d as (select doc_id, coalesce(text, '') as t from documents), w as (select doc_id, t, regexp_extract_all(t, '{_BLANK}+') as ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{_BLANK}')) as ls from d),
+p as (select doc_id, i, array_to_string(ws[i:i + 4], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w)), f as (select doc_id, g from p group by 1, 2 having count(*) > 1),
+c as (select doc_id, count(distinct i + j) as n from p join f using (doc_id, g), range(5) o(j) group by 1),
+m as (select doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+(len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words, len(ls)::bigint as n_lines,
+len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z]') and not regexp_matches(x, '[a-z]')))::bigint as n_upper_words, ((length(t) - length(replace(t, '!!', ''))) // 2)::bigint as n_shouts,
+len(list_filter(ws, lambda x: x = '|'))::bigint as n_bars, length(regexp_replace(t, '[^A-Za-z\x{{80}}-\x{{10FFFF}}]', '', 'g'))::bigint as n_letters,
+len(list_filter(list_zip(ws, ws[2:]), lambda z: z[1] = z[2]))::bigint as n_stutters from w left join c using (doc_id)),
+r as (select *, ("""
+    + " + ".join(f"case when {rule} then {1 << k} else 0 end" for k, rule in enumerate(quality_rules.RULES.values()))
+    + ")::bigint as failed from m) select *, failed & 3 <> 0 as base_failed, failed = 0 as kept from r"
+)
+
+_OP7 = r"""with c as (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+n as (select *, case when r = lag(r) over (partition by conv_id order by turn, r, x) then 7 else 14 + length(r) end + length(x) + length(x) - length(replace(x, '\', '')) + coalesce(list_sum(list_transform(regexp_extract_all(x, '#+'), lambda h: length(h) - 1)), 0)
++ (2 * length(x) - length(replace(x, '</turn>', '')) - length(replace(x, '<turn/>', ''))) // 7 as size from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' order by turn, r, x)) as turns_sha256, coalesce(sum(length(x)) filter (r = 'assistant'), 0)::bigint as loss_chars,
+sha256(coalesce(string_agg(x, '' order by turn, r, x) filter (r = 'assistant'), '')) as loss_sha256, sum(size)::bigint as formatted_chars from n group by 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL twins; the other operators' hashes, models, codes and searches for components are beyond SQL."""
+    return {"op3_topk_search": _OP3, "op4_quality_rules": _OP4, "op7_chat_format": _OP7}
