@@ -103,9 +103,36 @@ def test_hot_buckets_lose_no_link(spark, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == usual
 
 
-def test_very_long_lines_count_exactly(spark, monkeypatch):
-    docs = spark.createDataFrame([document(1, prose(4, 300)), document(2, prose(4, 300))], DOCS)
-    packed = line_dedup._PACKED
+def test_edit_similarity_by_brute_force(spark, monkeypatch):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(8)
+    rows = []
+    for _ in range(300):
+        a = [rng.choice(["ab", "abc", "b", "xyz"]) for _ in range(rng.randrange(1, 12))]
+        b = [w for w in a if rng.random() < 0.9] or ["b"]
+        if rng.random() < 0.7:
+            b.insert(rng.randrange(len(b) + 1), rng.choice(["ab", "zz"]))
+        rows.append((" ".join(a), " ".join(b)))
+    df = spark.createDataFrame(rows, "x string, y string")
+    got = {(r["x"], r["y"]) for r in line_dedup.edit_similar(df, "x", "y", 0.8).collect()}
+    assert got == {(a, b) for a, b in rows if distance(a, b) <= int((0.2 + 1e-9) * max(len(a), len(b)))}
+    monkeypatch.setattr(line_dedup, "LONG", 5)
+    long = spark.createDataFrame([("a b c d e f g h i j", "a b c dd e f g h i j"), ("a b c d e f g h i j", "z y c d e f g x w v")], df.schema)
+    assert [r["y"][4:8] for r in line_dedup.edit_similar(long, "x", "y", 0.8).collect()] == ["c dd"]
+
+
+def test_huge_lines_count_exactly(spark, monkeypatch):
+    docs = spark.createDataFrame([document(1, prose(4, 300)), document(2, prose(4, 300)), document(3, prose(5, 99))], DOCS)
+    usual = sorted(map(tuple, line_dedup.dedup_lines(docs).collect()))
     monkeypatch.setattr(line_dedup, "_PACKED", 100)
-    kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
-    assert packed == 30_000 and kept == {1: prose(4, 300), 2: ""}
+    assert sorted(map(tuple, line_dedup.dedup_lines(docs).collect())) == usual
+    assert [r[1] for r in usual] == [prose(4, 300), "", prose(5, 99)]
