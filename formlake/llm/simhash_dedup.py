@@ -15,12 +15,16 @@ radius are abandoned. Only a spanning forest of each bucket's links leaves the
 task, so a bucket of n near copies emits at most n - 1 rows. Buckets above
 ``MAX_BUCKET`` are dealt out as pairs of salted parts: no link is lost and no
 task holds more than two parts.
+
+``keep_one_per_group`` wants word-shingle similarity instead of near bits: its
+wide radius only finds candidates, whose shingle sets are then compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,34 +34,42 @@ from pyspark.sql import functions as F
 from formlake.llm.components import connected_components
 from formlake.llm.work import materialise
 
+RADIUS = 15  # of the candidates of keep_one_per_group
+SIMILARITY = 0.8
 MAX_BUCKET = 8192
 RANDOM_BUCKET = 512
 _ITEMS = 1 << 15
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def simhash(data: bytes, words: int) -> int:
-    """Fingerprint of one UTF-8 text as a signed 64-bit integer."""
+def _shingles(parts: list[bytes], words: int) -> np.ndarray:
+    """Hashes of the runs of ``words`` of the words ``parts``, in order; fewer words are one run."""
     import xxhash
 
-    parts = data.lower().split()
-    if not parts:
-        return 0
     n = max(1, len(parts) - words + 1)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = ends[min(words, len(parts)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def _majority(h: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
+    for at in range(0, len(h), 65536):
         part = h[at : at + 65536].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > n, bitorder="little").view(np.int64)
+    bits = np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)
     return int(bits[0])
 
 
+def simhash(data: bytes, words: int) -> int:
+    """Fingerprint of one UTF-8 text as a signed 64-bit integer."""
+    parts = data.lower().split()
+    return _majority(_shingles(parts, words)) if parts else 0
+
+
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 4) -> DataFrame:
     """(id, fingerprint long): ASCII letters lower-cased, shingles of ``words`` words.
 
@@ -131,15 +143,12 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def bucket_links(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links inside each group: indices (member, root).
+def _hits(fp: np.ndarray, group: np.ndarray, radius: int, settled: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of indices within ``radius`` inside each group, the first the smaller one.
 
-    ``fp``: uint64, ``group``: any values, equal ones adjacent.
+    Words whose elements all have the query's value of ``settled()`` may be passed over.
     """
     n = len(fp)
-    label = np.arange(n)
-    if n < 2:
-        return label[:0], label[:0]
     new = np.concatenate(([True], group[1:] != group[:-1]))
     start = np.flatnonzero(new)
     size = np.diff(np.concatenate((start, [n])))
@@ -163,6 +172,7 @@ def bucket_links(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nda
         w = word[q] + np.arange(len(q)) - np.repeat(np.cumsum(reps) - reps, reps)
         valid = np.where(w == word[q], filled[w] & after[q], filled[w])
         if int(size.max()) > 64 and done:  # words whose lanes all belong to the query's set already have nothing to add
+            label = settled()
             lab = np.where(element >= 0, label[element], np.iinfo(np.int64).max).reshape(-1, 64)
             low, high = lab.min(axis=1), np.where(element.reshape(-1, 64) >= 0, lab, -1).max(axis=1)
             valid = np.where((low[w] == high[w]) & (low[w] == label[q]), np.uint64(0), valid)
@@ -171,9 +181,21 @@ def bucket_links(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nda
         for at in range(0, len(q), 4096):
             lanes = np.unpackbits(hit[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             i, j = np.nonzero(lanes)
-            label = _merge(label, q[at : at + 4096][i], element[w[at : at + 4096][i] * 64 + j])
+            yield q[at : at + 4096][i], element[w[at : at + 4096][i] * 64 + j]
         done = stop
-    member = np.flatnonzero(label != np.arange(n))
+
+
+def bucket_links(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links inside each group: indices (member, root).
+
+    ``fp``: uint64, ``group``: any values, equal ones adjacent.
+    """
+    label = np.arange(len(fp))
+    if len(fp) < 2:
+        return label[:0], label[:0]
+    for a, b in _hits(fp, group, radius, lambda: label):
+        label = _merge(label, a, b)
+    member = np.flatnonzero(label != np.arange(len(fp)))
     return member, label[member]
 
 
@@ -199,6 +221,38 @@ def _choose_m(n: int, radius: int) -> int:
     return 4
 
 
+def _dealt(bands: DataFrame, key: str) -> DataFrame:
+    """``bands`` with the part numbers (i, j) first, shuffled; buckets above MAX_BUCKET as pairs of parts by hash of ``key``."""
+    large = bands.groupBy("bucket").count().filter(F.col("count") > MAX_BUCKET)
+    large = large.select("bucket", F.ceil(F.col("count") / MAX_BUCKET).cast("int").alias("parts"))
+    others = [c for c in bands.columns if c != "bucket"]
+    bands = bands.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64(key), F.col("parts")).cast("int")
+    bands = bands.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = bands.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *others)
+    return dealt.repartition("bucket", "i", "j")
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows as int64 matrices that end where a bucket (the first three columns) does."""
+    held: list[np.ndarray] = []
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1))
+        n += b.num_rows
+        if n >= MAX_BUCKET:
+            rows = np.concatenate(held)
+            whole = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1))
+            cut = int(whole[-1]) + 1 if len(whole) else 0
+            if cut:
+                yield rows[:cut]
+            held, n = [rows[cut:]], len(rows) - cut
+    if n:
+        yield np.concatenate(held)
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``fps.fingerprint`` within ``radius``.
 
@@ -206,40 +260,15 @@ def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """
     m = _choose_m(fps.count(), radius)
     bands = fps.select("fingerprint", F.explode(_blocks(F.col("fingerprint"), radius, m)).alias("bucket"))
-    large = bands.groupBy("bucket").count().filter(F.col("count") > MAX_BUCKET)
-    large = large.select("bucket", F.ceil(F.col("count") / MAX_BUCKET).cast("int").alias("parts"))
-    bands = bands.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
-    bands = bands.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = bands.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fingerprint")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "fingerprint")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n = 0
+    dealt = _dealt(bands, "fingerprint").sortWithinPartitions("bucket", "i", "j", "fingerprint")
 
-        def links(rows: np.ndarray) -> pa.RecordBatch:
-            step = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
-            fp = np.ascontiguousarray(rows[:, 3]).view(np.uint64)
-            child, root = bucket_links(fp, np.concatenate(([0], np.cumsum(step))), radius)
-            return pa.RecordBatch.from_arrays([pa.array(rows[child, 3]), pa.array(rows[root, 3])], names=["a", "b"])
+    def links(rows: np.ndarray) -> pa.RecordBatch:
+        step = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
+        fp = np.ascontiguousarray(rows[:, 3]).view(np.uint64)
+        child, root = bucket_links(fp, np.concatenate(([0], np.cumsum(step))), radius)
+        return pa.RecordBatch.from_arrays([pa.array(rows[child, 3]), pa.array(rows[root, 3])], names=["a", "b"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1))
-            n += b.num_rows
-            if n >= MAX_BUCKET:
-                rows = np.concatenate(held)
-                whole = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1))
-                cut = int(whole[-1]) + 1 if len(whole) else 0
-                if cut:
-                    yield links(rows[:cut])
-                held, n = [rows[cut:]], len(rows) - cut
-        if n:
-            yield links(np.concatenate(held))
-
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lambda batches: map(links, _whole_buckets(batches)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 4, radius: int = 4) -> DataFrame:
@@ -263,12 +292,144 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, one row per id, all columns.
+def _candidates(nodes: DataFrame, radius: int, similarity: float, m: int, every: int) -> DataFrame:
+    """Distinct pairs (a, b) of ``nodes`` (node, fingerprint, n, g) within ``radius``, as far as their numbers ``n`` of shingles allow ``similarity``.
+
+    ``every`` = 1: all pairs whose ``g`` differ. Above 1, a first look, for
+    groups of many near copies: of each ``every``-th choice of blocks, each
+    node's next neighbour in a bucket and the neighbours of the node that has most.
+    """
+    cut = [64 * i // (radius + m) for i in range(radius + m + 1)]
+    number = {c: k for k, c in enumerate(combinations(range(radius + m), m))}
+    buckets = F.filter(_blocks(F.col("fingerprint"), radius, m), lambda _, k: k % every == 0) if every > 1 else _blocks(F.col("fingerprint"), radius, m)
+    bands = nodes.select("g", "fingerprint", "node", "n", F.explode(buckets).alias("bucket"))
+    dealt = _dealt(bands, "node").sortWithinPartitions("bucket", "i", "j", "g", "fingerprint", "node")
+
+    def near_size(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.minimum(n[a], n[b]) >= (similarity - 1e-9) * np.maximum(n[a], n[b])
+
+    def first_bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The key of the first bucket in which both stand: that of the first m blocks that agree."""
+        x = a ^ b
+        agree = np.stack([(x >> np.uint64(cut[i])) & np.uint64((1 << (cut[i + 1] - cut[i])) - 1) == 0 for i in range(radius + m)], axis=1)
+        chosen = np.argsort(~agree, axis=1, kind="stable")[:, :m]
+        key = np.fromiter((number[tuple(c)] for c in chosen.tolist()), np.uint64, len(a))
+        widths, starts = np.diff(cut).astype(np.uint64), np.array(cut[:-1], np.uint64)
+        for c in chosen.T:
+            key = key << widths[c] | a >> starts[c] & (np.uint64(1) << widths[c]) - np.uint64(1)
+        return key.view(np.int64)
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = np.concatenate(([0], np.cumsum((rows[1:, :3] != rows[:-1, :3]).any(axis=1))))
+        g, node, n = np.unique(rows[:, 3], return_inverse=True)[1], rows[:, 5], rows[:, 6]
+        fp = np.ascontiguousarray(rows[:, 4]).view(np.uint64)
+        batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
+        if every == 1:
+            for a, b in _hits(fp, group, radius, lambda: g):
+                some = (g[a] != g[b]) & near_size(n, a, b)
+                a, b = a[some], b[some]
+                some = first_bucket(fp[a], fp[b]) == rows[a, 0]
+                if some.any():
+                    yield batch(a[some], b[some])
+            return
+        degree, linked = np.zeros(len(fp), np.int64), np.full(len(fp), len(fp))
+        for a, b in _hits(fp, group, radius, lambda: np.arange(len(fp))):
+            some = near_size(n, a, b)
+            a, b = a[some], b[some]
+            degree += np.bincount(a, minlength=len(fp)) + np.bincount(b, minlength=len(fp))
+            np.minimum.at(linked, a, b)
+        a = np.flatnonzero(linked < len(fp))
+        if len(a):
+            yield batch(a, linked[a])
+        order = np.lexsort((degree, group))
+        hub = order[np.concatenate((np.flatnonzero(np.diff(group)), [len(group) - 1]))][group]
+        a = np.arange(len(fp))
+        a = a[(a != hub) & (np.bitwise_count(fp ^ fp[hub]) <= radius) & near_size(n, a, hub)]
+        if len(a):
+            yield batch(a, hub[a])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_buckets(batches):
+            if len(rows) > 1:
+                yield from pairs(rows)
+
+    return materialise(dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct(), "candidates")
 
-    A row without an id cannot be named as the copy of another and stays.
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs`` of nodes whose sets of shingles have the Jaccard ``similarity``.
+
+    ``nodes``: with ``place``, where a text of the node stands in ``docs`` (id, row, text).
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    wanted = nodes.join(wanted, F.col("node") == F.col("w")).select("node", F.col("place.id").alias("_id"), F.col("place.row").alias("_row"))
+    found = docs.join(wanted, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [x.lower().split() if x else [] for x in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(_shingles(p, words)).tobytes() if p else b"" for p in own], pa.binary())], names=["node", "set"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= (similarity - 1e-9) * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    own = materialise(found.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "shingle-sets")
+    met = pairs.join(own.select(F.col("node").alias("na"), F.col("set").alias("x")), F.col("a") == F.col("na"))
+    met = met.join(own.select(F.col("node").alias("nb"), F.col("set").alias("y")), F.col("b") == F.col("nb"))
+    return materialise(met.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "similar")
+
+
+def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per input row: (id, row, group), ``row`` the xxhash64 of the text.
+
+    Texts of the same words (ASCII letters lower-cased) are one node, by 64
+    bits of hash; null and blank texts are one too. Nodes are linked if their
+    SimHashes differ in at most ``radius`` bits and their sets of shingles of
+    ``words`` words have a Jaccard similarity of ``similarity`` or more.
+    ``group`` names the connected group.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    base = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            out = []
+            for x in b.column(2).cast(pa.binary()).to_pylist():
+                parts = x.lower().split() if x else []
+                h = _shingles(parts, words) if parts else np.zeros(0, np.uint64)
+                node = np.uint64(xxhash.xxh64_intdigest(b" ".join(parts), 7)).view(np.int64)
+                out.append((int(node), _majority(h) if parts else 0, len(np.unique(h))))
+            columns = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), (), ()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "row", "node", "fingerprint", "n"])
+
+    rows = materialise(base.select("id", "row", "text").mapInArrow(run, f"id {kind}, row long, node long, fingerprint long, n long"), "shingled")
+    nodes = materialise(rows.groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), F.min("n").alias("n"), F.min(F.struct("id", "row")).alias("place")), "nodes")
+    count = nodes.count()
+    m = min((1, 2, 3), key=lambda m: comb(radius + m, m) * (1 + (count >> (64 * m // (radius + m))) / 600))
+    links = _similar(_candidates(nodes.withColumn("g", F.col("node")), radius, similarity, m, 8), nodes, base, words, similarity)
+    known = connected_components(links).withColumnRenamed("node", "k")
+    grouped = nodes.join(known, F.col("node") == F.col("k"), "left").withColumn("g", F.coalesce("root", "node"))
+    links = links.unionByName(_similar(_candidates(grouped, radius, similarity, m, 1), nodes, base, words, similarity))
+    parts = connected_components(links).withColumnRenamed("node", "k")
+    return rows.join(parts, F.col("node") == F.col("k"), "left").select(F.col("id").alias(id_col), "row", F.coalesce("root", "node").alias("group"))
+
+
+def keep_one_per_group(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of ``similar_groups``, all columns: that with the smallest (id, text hash).
+
+    Rows that share an id but not a group stay each. A row without an id cannot
+    be named as the copy of another and stays.
     """
-    groups = near_duplicates(docs, text, id_col, words, radius)
-    keep = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep__"))
-    kept = docs.join(keep, F.col(id_col) == F.col("__keep__"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    groups = similar_groups(docs, text, id_col, words, radius, similarity).filter(F.col(id_col).isNotNull())
+    keep = groups.groupBy("group").agg(F.min(F.struct(id_col, "row")).alias("k")).select(F.col(f"k.{id_col}").alias("__keep__"), F.col("k.row").alias("__keep_row__"))
+    rows = docs.withColumn("__row__", F.xxhash64(F.col(text).cast("string")))
+    kept = rows.join(keep, (F.col(id_col) == F.col("__keep__")) & (F.col("__row__") == F.col("__keep_row__")), "left_semi").dropDuplicates([id_col, "__row__"])
+    return kept.drop("__row__").unionByName(docs.filter(F.col(id_col).isNull()))

@@ -136,3 +136,42 @@ def test_huge_lines_count_exactly(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "_PACKED", 100)
     assert sorted(map(tuple, line_dedup.dedup_lines(docs).collect())) == usual
     assert [r[1] for r in usual] == [prose(4, 300), "", prose(5, 99)]
+
+
+def test_stage_joins_pairs_of_similarity_four_fifths(spark):
+    import random
+
+    rng = random.Random(1)
+    texts = {}
+    for k in range(120):
+        words = prose(500 + k, rng.choice((60, 150, 400))).split()
+        texts[2 * k] = " ".join(words)
+        for at in rng.sample(range(0, len(words), 6), rng.randrange(1, max(2, len(words) // 36))):
+            words[at] = "zulu"
+        texts[2 * k + 1] = " ".join(words)
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in texts.items()}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    alike = [(a, b) for a in texts for b in texts if a < b and jaccard(a, b) >= 0.8]
+    docs = spark.createDataFrame([document(k, t) for k, t in texts.items()], DOCS)
+    group = {r["doc_id"]: r["group"] for r in simhash_dedup.similar_groups(docs).collect()}
+    found = [(a, b) for a, b in alike if group[a] == group[b]]
+    assert min(jaccard(a, b) for a, b in alike) < 0.85 and len(found) >= 0.95 * len(alike) > 30
+    assert {(a, b) for a in texts for b in texts if a < b and group[a] == group[b]} <= set(alike)
+    kept = {r["doc_id"] for r in simhash_dedup.keep_one_per_group(docs).collect()}
+    assert kept == set(texts) - {b for _, b in found}
+
+
+def test_stage_finds_all_candidates_in_dealt_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**64, size=3, dtype=np.uint64)
+    fp = base[rng.integers(0, 3, 240)]
+    for _ in range(9):
+        fp = fp ^ (np.uint64(1) << rng.integers(0, 64, 240).astype(np.uint64))
+    rows = [(int(x), k, int(rng.integers(90, 130)), k % 7) for k, x in enumerate(fp.view(np.int64))]
+    nodes = spark.createDataFrame(rows, "fingerprint long, node long, n long, g long")
+    near = lambda a, b: int(fp[a] ^ fp[b]).bit_count() <= 15 and min(rows[a][2], rows[b][2]) >= 0.8 * max(rows[a][2], rows[b][2])
+    want = {(a, b) for a in range(240) for b in range(a + 1, 240) if near(a, b)}
+    monkeypatch.setattr(simhash_dedup, "MAX_BUCKET", 40)
+    for m in (1, 2):
+        assert {tuple(r) for r in simhash_dedup._candidates(nodes, 15, 0.8, m, 1).collect()} == {(a, b) for a, b in want if a % 7 != b % 7}
+    assert {tuple(r) for r in simhash_dedup._candidates(nodes, 15, 0.8, 2, 8).collect()} <= want
