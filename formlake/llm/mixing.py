@@ -117,11 +117,14 @@ def min_cost_flow(capacity: Sequence[int], members: Sequence[Sequence[int]], quo
 
 
 def select_seeded(sizes: DataFrame, quotas: DataFrame, seed: int, id_col: str = "doc_id") -> DataFrame:
-    """Add ``taken`` (words) to ``sizes`` (id, pattern, size): the pattern's quota, met in seeded order.
+    """Add ``taken`` (words) to ``sizes`` (id, pattern, size, row): the pattern's quota, met in seeded order.
+
+    ``row``, a hash of the text, tells rows without an id apart.
 
     ``quotas``: (pattern, total, quota), a row per pattern, patterns not null.
     """
-    hashed = sizes.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col), F.col("size"))).withColumn("_bin", F.pmod("_h", F.lit(BINS)).cast("int"))
+    named = F.xxhash64(F.lit(seed), F.col(id_col), F.col("size"))
+    hashed = sizes.withColumn("_h", F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), F.col("row"), F.col("size"))).otherwise(named)).withColumn("_bin", F.pmod("_h", F.lit(BINS)).cast("int"))
     per_bin = hashed.groupBy("pattern", "_bin").agg(F.sum("size").alias("in_bin"))
     need = quotas.select(F.col("pattern").alias("p"), F.floor(F.col("quota") / F.greatest("total", F.lit(1))).alias("uses"), (F.col("quota") % F.greatest("total", F.lit(1))).alias("rest"))
     before = F.sum("in_bin").over(Window.partitionBy("pattern").orderBy("_bin")) - F.col("in_bin")
@@ -130,13 +133,20 @@ def select_seeded(sizes: DataFrame, quotas: DataFrame, seed: int, id_col: str =
     bins = bins.select("p", F.col("_bin").alias("b"), "uses", F.when(left <= 0, 0).when(left >= F.col("in_bin"), 1).otherwise(2).alias("edge"), left.alias("left"))
     joined = hashed.join(bins, (F.col("pattern") == F.col("p")) & (F.col("_bin") == F.col("b"))).drop("p", "b")
     whole = joined.filter("edge < 2").withColumn("taken", F.col("size") * (F.col("uses") + F.col("edge")))
-    order = Window.partitionBy("pattern", "_bin").orderBy("_h", id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("pattern", "_bin").orderBy("_h", id_col, "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     used = F.sum("size").over(order) - F.col("size")  # one bin of each pattern at most
     part = joined.filter("edge = 2").withColumn("_used", used)
     part = part.withColumn("taken", F.col("size") * F.col("uses") + F.least("size", F.greatest(F.col("left") - F.col("_used"), F.lit(0)))).drop("_used")
     return whole.unionByName(part).drop("_h", "_bin", "uses", "edge", "left")
 
 
+def _memberships(source: str | Column) -> tuple[Column, Column]:
+    """A document's sources in order, and the name of this pattern."""
+    own = F.array(F.col(source)) if isinstance(source, str) else source
+    own = F.array_sort(F.array_distinct(F.coalesce(own, F.array(F.lit(None).cast("string")))))
+    return own, F.to_json(F.struct(F.transform(own, lambda s: F.struct(s.alias("s"))).alias("m")))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 8, text: str = "text", id_col: str = "doc_id", source: str | Column = "source") -> DataFrame:
     """One row per input row: (id, size, source_size, target, taken).
 
@@ -153,11 +163,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
     Patterns and sources come to the driver, a row each, not documents.
     """
+    return _mixed(docs, weights, share, repeats, seed, text, id_col, source).drop("row", "pattern")
+
+
+def _mixed(docs: DataFrame, weights: Sequence[float], share: float, repeats: int, seed: int, text: str, id_col: str, source: str | Column) -> DataFrame:
+    """``mix`` with ``row``, the xxhash64 of the text, and ``pattern``."""
     spark = docs.sparkSession
-    own = F.array(F.col(source)) if isinstance(source, str) else source
-    own = F.array_sort(F.array_distinct(F.coalesce(own, F.array(F.lit(None).cast("string")))))
-    key = F.to_json(F.struct(F.transform(own, lambda s: F.struct(s.alias("s"))).alias("m")))
-    sizes = materialise(docs.select(F.col(id_col).alias(id_col), key.alias("pattern"), own.alias("own"), word_count(F.col(text)).alias("size")), "sizes")
+    own, key = _memberships(source)
+    sizes = materialise(docs.select(F.col(id_col).alias(id_col), key.alias("pattern"), own.alias("own"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("row")), "sizes")
     rows = sizes.groupBy("pattern").agg(F.first("own").alias("own"), F.sum("size").alias("size")).collect()
     rows.sort(key=lambda r: r["pattern"])
     names = sorted({s for r in rows for s in r["own"]}, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
@@ -172,19 +185,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     quotas = spark.createDataFrame(table, "pattern string, total long, quota long, source_size long, target double")
     chosen = select_seeded(sizes.drop("own"), quotas, seed, id_col)
     facts = quotas.select(F.col("pattern").alias("p"), "source_size", "target")
-    return chosen.join(facts, F.col("pattern") == F.col("p")).select(id_col, "size", "source_size", "target", "taken")
+    return chosen.join(facts, F.col("pattern") == F.col("p")).select(id_col, "size", "source_size", "target", "taken", "row", "pattern")
 
 
-def mixed_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 8, text: str = "text", id_col: str = "doc_id", source: str | Column = "source") -> DataFrame:
     """The mix as documents: each row of ``docs`` as often as it is taken, a last use in part with its first words.
 
-    All columns pass through. Rows of one id are told apart by their size; of
-    rows without an id none is taken.
+    All columns pass through. A row is known by id (null is one), text hash,
+    sources and its number among the rows alike in these, so each row meets
+    the words taken for it.
     """
-    taken = mix(docs, text=text, id_col=id_col, **how).filter("taken > 0").groupBy(id_col, "size").agg(F.sum("taken").alias("__taken__"), F.count("*").alias("__rows__"))
-    taken = taken.select(F.col(id_col).alias("__id__"), F.col("size").alias("__size__"), (F.col("__taken__") / F.col("__rows__")).cast("long").alias("__taken__"))
-    sized = docs.withColumn("__words__", word_count(F.col(text)))
-    joined = sized.join(taken, (F.col(id_col) == F.col("__id__")) & (F.col("__words__") == F.col("__size__")))
+    taken = _mixed(docs, weights, share, repeats, seed, text, id_col, source)
+    nth = F.row_number().over(Window.partitionBy(id_col, "row", "pattern").orderBy(F.desc("taken")))
+    taken = taken.withColumn("__nth__", nth).filter("taken > 0")
+    taken = taken.select(F.col(id_col).alias("__id__"), F.col("row").alias("__row__"), F.col("pattern").alias("__pattern__"), F.col("__nth__").alias("__taken_nth__"), F.col("size").alias("__size__"), F.col("taken").alias("__taken__"))
+    known = docs.withColumns({"__own_row__": F.xxhash64(F.col(text)), "__own_pattern__": _memberships(source)[1]})
+    known = known.withColumn("__nth__", F.row_number().over(Window.partitionBy(id_col, "__own_row__", "__own_pattern__").orderBy(F.lit(0))))
+    same = F.col(id_col).eqNullSafe(F.col("__id__")) & (F.col("__own_row__") == F.col("__row__")) & (F.col("__own_pattern__") == F.col("__pattern__"))
+    joined = known.join(taken, same & (F.col("__nth__") == F.col("__taken_nth__")))
     full, rest = F.floor(F.col("__taken__") / F.col("__size__")), F.col("__taken__") % F.col("__size__")
     uses = joined.withColumn("__part__", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
     # pieces of a word with the blanks before it

@@ -153,6 +153,26 @@ def test_mix_meets_targets(spark, odd, empty):
     assert mixing.mix(odd).count() == 11 and mixing.mix(empty).count() == mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixed_documents_keep_rows_without_or_with_shared_ids(spark):
+    import collections
+
+    rows = [document(None, prose(k, 40), "ab"[k % 2]) for k in range(120)] + [document(7, prose(200 + k, 40), "ab"[k % 2]) for k in range(40)]
+    rows += [document(None, prose(0, 40), "a")] * 3
+    docs = spark.createDataFrame(rows, DOCS)
+    want = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        want[(r["doc_id"], r["source_size"])] += r["taken"]
+    size = {s: sum(40 for r in rows if r[3] == s) for s in "ab"}
+    got, whole = collections.Counter(), collections.Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        n = len(r["text"].split())
+        got[(r["doc_id"], size[r["source"]])] += n
+        whole[(r["doc_id"], r["text"], r["source"])] += n == 40
+    assert got == want and got[(None, size["a"])] > 0 and size["a"] != size["b"]
+    there = collections.Counter((r[0], r[1], r[3]) for r in rows)
+    assert all(n <= 2 * there[k] for k, n in whole.items())
+
+
 def test_targets_and_flow():
     assert mixing.shared_targets([100, 100, 100], [5, 2, 1], 1.5, 2) == [200, pytest.approx(500 / 3), pytest.approx(250 / 3)]
     assert mixing.shared_targets([0, 10], [5, 1], 3, 2) == [0.0, 20]
