@@ -90,52 +90,122 @@ def test_like_lines_form_groups(spark):
     almost = line.replace(line.split()[50], "zulu")
     docs = spark.createDataFrame([document(1, line + "\nshort one"), document(2, almost + "\nshort one"), document(3, line.upper() + "!"), document(4, prose(10, 120))], DOCS)
     kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
-    assert kept[1] == line + "\nshort one" and kept[3] == "" and kept[4] == prose(10, 120)
-    assert kept[2] in ("short one", almost + "\nshort one")  # by the bits of its SimHash
+    assert kept == {1: line + "\nshort one", 2: "", 3: "", 4: prose(10, 120)}
+
+
+def test_equal_lines_of_all_kinds(spark):
+    lines = ["Read more", "* * *", "\u0130" * 20_000, "漢字の行", "ok", "क़िला हिन्दी"]
+    texts = {1: "\n".join(lines), 2: "\n\n".join(lines) + "\n ", 3: "*  *\u00a0*\nक़ला हिन्दी"}
+    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame([document(k, t) for k, t in texts.items()], DOCS)).collect()}
+    assert rows[1]["n_dropped"] == 0 and rows[2]["text"] == "\n\n\n\n\n " and rows[2]["n_dropped"] == 6
+    assert rows[3]["text"] == "क़ला हिन्दी"
+
+
+def distance(a, b):
+    row = np.arange(len(b) + 1)
+    codes = np.array([ord(c) for c in b])
+    for i, x in enumerate(a, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(x)))
+        row = np.minimum.accumulate(np.concatenate(([i], best)) - np.arange(len(b) + 1)) + np.arange(len(b) + 1)
+    return int(row[-1])
+
+
+def block_keys(line):
+    """The buckets of a line by the definition: blocks of its SimHash, or pairs of them."""
+    import itertools
+    import math
+
+    import xxhash
+
+    words = set(line.split(" "))
+
+    def class_of(n):
+        small = [k for k, c in enumerate(line_dedup.CLASSES) if n < c[0]]
+        return small[0] if small else len(line_dedup.CLASSES) + int(math.log2(n / line_dedup.CLASSES[-1][0]))
+
+    keys = set()
+    for cls in {class_of(len(words)), class_of(int(len(words) * line_dedup.SLACK))}:
+        last = len(line_dedup.CLASSES) - 1
+        n, m = line_dedup.CLASSES[cls][1:] if cls <= last else (line_dedup.CLASSES[last][1] << (cls - last), 1)
+        blocks = {}
+        for w in words:
+            h = xxhash.xxh64_intdigest(w, 42)
+            blocks.setdefault((h >> 4 & 0x0F0F0F0F0F0F0F0F) % n, []).append((h, len(w)))
+        blocks = {j: v for j, v in blocks.items() if j < line_dedup.KEPT}
+        bits = {j: tuple(2 * sum(h >> k + 8 * f & 1 for h, _ in v) > len(v) for k in range(4) for f in range(7)) + (len(v), sum(c for _, c in v)) for j, v in blocks.items()}
+        for own in itertools.combinations(range(min(n, line_dedup.KEPT)), m):
+            if sum(bits[j][-1] for j in own if j in bits) >= line_dedup.LEAST_CHARS:
+                keys.add((cls, own, tuple(bits.get(j) for j in own)))
+    return keys
+
+
+def test_line_groups_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    lines = []
+    for k in range(70):
+        words = prose(900 + k, rng.choice((6, 9, 14, 30, 45, 70, 130, 260))).split()
+        for _ in range(3):
+            other = list(words)
+            for at in rng.sample(range(len(words)), rng.randrange(0, 1 + len(words) // 12)):
+                other[at] = rng.choice(["zulu%d" % rng.randrange(99), other[at][::-1]])
+            if rng.random() < 0.4:
+                other.insert(rng.randrange(len(other)), "extra%d" % rng.randrange(99))
+            lines.append(" ".join(other))
+    lines = sorted(set(lines))
+    similar = lambda a, b: distance(a, b) <= int((0.2 + 1e-9) * max(len(a), len(b)))
+    keys = [block_keys(x) for x in lines]
+    near = np.eye(len(lines), dtype=bool)
+    alike = []
+    for i in range(len(lines)):
+        for j in range(i):
+            if min(len(lines[i]), len(lines[j])) >= 0.8 * max(len(lines[i]), len(lines[j])) and set(lines[i].split()) & set(lines[j].split()) and similar(lines[i], lines[j]):
+                alike.append((i, j))
+                near[i, j] = near[j, i] = bool(keys[i] & keys[j])
+    group = closure(near)
+    assert sum(group[i] == group[j] for i, j in alike) >= 0.9 * len(alike) > 60
+    docs = spark.createDataFrame([document(k, x) for k, x in enumerate(lines)], DOCS).repartition(4)
+    kept = {r["doc_id"] for r in line_dedup.dedup_lines(docs).collect() if r["text"]}
+    assert kept == set(group.tolist())
 
 
 def test_hot_buckets_lose_no_link(spark, monkeypatch):
     words = prose(3, 200).split()
-    texts = [" ".join(words[:k] + ["zulu"] + words[k + 1 :]) for k in range(0, 60, 3)]
+    texts = [" ".join(words[:k] + ["zulu"] + words[k + 1 :]) for k in range(0, 60, 3)] + [" ".join(words[60:] + prose(k, 60).split()) for k in range(20)]
     docs = spark.createDataFrame([document(k, t) for k, t in enumerate(texts)], DOCS)
     usual = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert [k for k, t in usual.items() if t and k < 20] == [0]
     monkeypatch.setattr(line_dedup, "HOT", 2)
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == usual
 
 
-def test_edit_similarity_by_brute_force(spark, monkeypatch):
+def test_edit_similarity_by_brute_force(spark):
     import random
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
     rng = random.Random(8)
     rows = []
-    for _ in range(300):
-        a = [rng.choice(["ab", "abc", "b", "xyz"]) for _ in range(rng.randrange(1, 12))]
-        b = [w for w in a if rng.random() < 0.9] or ["b"]
+    for k in range(400):
+        a = prose(k, rng.randrange(1, 40)).split() if k % 2 else [rng.choice(["ab", "abc", "b", "xyz"]) for _ in range(rng.randrange(1, 12))]
+        b = [w if rng.random() < 0.9 else w[:-1] + "x" for w in a if rng.random() < 0.95] or ["b"]
         if rng.random() < 0.7:
             b.insert(rng.randrange(len(b) + 1), rng.choice(["ab", "zz"]))
-        rows.append((" ".join(a), " ".join(b)))
-    df = spark.createDataFrame(rows, "x string, y string")
-    got = {(r["x"], r["y"]) for r in line_dedup.edit_similar(df, "x", "y", 0.8).collect()}
-    assert got == {(a, b) for a, b in rows if distance(a, b) <= int((0.2 + 1e-9) * max(len(a), len(b)))}
-    monkeypatch.setattr(line_dedup, "LONG", 5)
-    long = spark.createDataFrame([("a b c d e f g h i j", "a b c dd e f g h i j"), ("a b c d e f g h i j", "z y c d e f g x w v")], df.schema)
-    assert [r["y"][4:8] for r in line_dedup.edit_similar(long, "x", "y", 0.8).collect()] == ["c dd"]
-
-
-def test_huge_lines_count_exactly(spark, monkeypatch):
-    docs = spark.createDataFrame([document(1, prose(4, 300)), document(2, prose(4, 300)), document(3, prose(5, 99))], DOCS)
-    usual = sorted(map(tuple, line_dedup.dedup_lines(docs).collect()))
-    monkeypatch.setattr(line_dedup, "_PACKED", 100)
-    assert sorted(map(tuple, line_dedup.dedup_lines(docs).collect())) == usual
-    assert [r[1] for r in usual] == [prose(4, 300), "", prose(5, 99)]
+        rows.append((" ".join(a), " ".join(b), 7))
+    df = spark.createDataFrame(rows, "x string, y string, _a int")
+    got = line_dedup.edit_similar(df.select("x", "y"), "x", "y", 0.8).collect()
+    got = {(r["x"], r["y"]) for r in got}
+    want = {(a, b) for a, b, _ in rows if distance(a, b) <= int((0.2 + 1e-9) * max(len(a), len(b)))}
+    assert got <= want and len(got) >= 0.97 * len(want) > 150
+
+
+def test_one_measure_for_all_lengths(spark):
+    def pair(n, every):
+        words = prose(n, n).split()
+        return " ".join(words), " ".join(w[:-1] + "q" if k % every == 0 else w for k, w in enumerate(words))
+
+    rows = [(n, every, *pair(n, every)) for n in (30, 300, 3000) for every in (1, 2)]
+    got = line_dedup.edit_similar(spark.createDataFrame(rows, "n int, every int, x string, y string"), "x", "y", 0.9).collect()
+    assert sorted((r["n"], r["every"]) for r in got) == [(30, 2), (300, 2), (3000, 2)]
 
 
 def test_stage_joins_pairs_of_similarity_four_fifths(spark):
