@@ -1,10 +1,9 @@
 """Token ids in a binary format, coded by a static range asymmetric numeral system.
 
-Writing goes in four Spark steps: tokenise into a work table; count every id
+Writing goes in three Spark steps: tokenise into a work table; count every id
 of the whole corpus (at most one row per vocabulary entry reaches the driver);
-encode each document in independent blocks against the shared frequency table;
-deal the documents out by ranges of the id and write them in order.
-Only encoded bytes are shuffled.
+deal the documents out by ranges of the id, and encode and write each in order,
+in independent blocks against the shared frequency table.
 
 The format is a folder with two Parquet tables. ``tables`` holds the frequency
 table (one row). ``documents`` holds one row per document: ``part`` and
@@ -39,7 +38,6 @@ BLOCK = 1 << 16
 LANE = 512
 CHECK = 256
 SCALE = 20
-_COLUMNS = "doc_id long, n_ids long, blocks array<binary>"
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sIHHIII")
 _U32, _U64 = np.uint64(32), np.uint64(SCALE)
@@ -198,7 +196,8 @@ def _tokenised(docs: DataFrame, text: str, id_col: str, tokenizer: str, end_id:
                 ids = [np.frombuffer(enc.encode(x or "") + end, "<u4").astype(kind).tobytes() for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, ids binary")
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"doc_id {id_kind}, ids binary")
 
 
 def _kind(vocabulary: int, end_id: int) -> str:
@@ -229,51 +228,40 @@ def _counts(tokens: DataFrame, kind: str, size: int) -> DataFrame:
 def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", id_col: str = "doc_id", parts: int | None = None) -> None:
     """Encode every whole text, append ``end_id``, and write the format to ``path``.
 
-    Documents lie in ascending order of the id (a null id first). Null and empty
-    texts are the end id alone. Rows that repeat an id are all written, in no
-    stated order among themselves. An empty table gives a folder without
+    Documents lie in ascending order of the id (null ids first); rows that
+    repeat one, of a hash of their ids, so that a rerun gives the same file. Null
+    and empty texts are the end id alone. An empty table gives a folder without
     documents. ``tokenizer``: path of a tokenizers file, readable on executors.
     ``parts``: number of files, by default spark.sql.shuffle.partitions.
     """
     spark = docs.sparkSession
     vocabulary = max(encoder(tokenizer).vocabulary, end_id + 1)
     kind = _kind(vocabulary, end_id)
-    tokens = materialise(_tokenised(docs, text, id_col, tokenizer, end_id), "tokens")
+    tokens = materialise(_tokenised(docs, text, id_col, tokenizer, end_id).withColumn("tie", F.xxhash64("ids")), "tokens")
     counted = _counts(tokens, kind, vocabulary).toPandas()  # a row per vocabulary entry at most
     freq = frequency_table(counted["id"].to_numpy(np.int64), counted["n"].to_numpy(np.float64), vocabulary)
     spark.createDataFrame([(SCALE, freq.tobytes())], "scale int, frequencies binary").write.parquet(f"{path}/tables")
     shared = spark.sparkContext.broadcast(freq)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offset = 0  # a task holds one part of the file
         for b in batches:
             sizes = np.cumsum([len(x) for x in b.column(1).to_pylist()]) // np.dtype(kind).itemsize
             for some in _cuts(b, sizes):
                 ids = [np.frombuffer(x, kind) for x in some.column(1).to_pylist()]
                 payload = iter(encode_blocks([x[at : at + BLOCK] for x in ids for at in range(0, len(x), BLOCK)], shared.value))
                 blocks = [[next(payload) for _ in range(0, len(x), BLOCK)] for x in ids]
-                columns = [some.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(blocks, pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_ids", "blocks"])
+                ends = offset + np.cumsum([len(x) for x in ids])
+                starts = np.concatenate(([offset], ends[:-1]))
+                offset = int(ends[-1])
+                columns = [some.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(blocks, pa.list_(pa.binary())), some.column(2), pa.array(starts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_ids", "blocks", "part", "offset"])
 
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = tokens.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
-    cuts = sorted(set(cuts)) if n > 1 else []
-    at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    at = F.when(F.col("doc_id").isNull(), 0).otherwise(at).cast("int")
-    coded = tokens.mapInArrow(encode, _COLUMNS).withColumn("part", at)
-    dealt = coded.repartitionById(n, "part").sortWithinPartitions("part", "doc_id")
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, offset = None, 0
-        for b in batches:
-            offsets = []
-            for p, n_ids in zip(b.column("part").to_pylist(), b.column("n_ids").to_pylist(), strict=True):
-                if p != part:
-                    part, offset = p, 0
-                offsets.append(offset)
-                offset += n_ids
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(offsets, pa.int64())], names=[*b.schema.names, "offset"])
-
-    out = dealt.mapInArrow(numbered, f"{_COLUMNS}, part int, offset long")
+    order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
+    dealt = tokens.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids", F.spark_partition_id().alias("part"))
+    id_kind = tokens.schema["doc_id"].dataType.simpleString()
+    out = dealt.mapInArrow(encode, f"doc_id {id_kind}, n_ids long, blocks array<binary>, part int, offset long")
     out.write.option("compression", "uncompressed").parquet(f"{path}/documents")
 
 
@@ -285,7 +273,8 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     raises an error.
     """
     freq = np.frombuffer(spark.read.parquet(f"{path}/tables").first()["frequencies"], np.uint32)
-    docs = spark.read.schema(f"{_COLUMNS}, part int, offset long").parquet(f"{path}/documents")
+    docs = spark.read.parquet(f"{path}/documents")
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
     totals = sorted(docs.groupBy("part").agg(F.sum("n_ids")).collect())  # a row per file of the format
     bases = dict(zip([t[0] for t in totals], np.cumsum([0] + [t[1] for t in totals]).tolist(), strict=False))
     shared = spark.sparkContext.broadcast((freq, bases))
@@ -301,7 +290,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 start = [bases[p] + o for p, o in zip(some.column("part").to_pylist(), some.column("offset").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(start, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
 
-    return docs.select("doc_id", "n_ids", "blocks", "part", "offset").mapInArrow(decode, "doc_id long, start long, ids binary")
+    return docs.select("doc_id", "n_ids", "blocks", "part", "offset").mapInArrow(decode, f"doc_id {id_kind}, start long, ids binary")
 
 
 def _cuts(batch: pa.RecordBatch, sizes: np.ndarray, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,11 @@
 """Token ids by a public tokenizer file, with a bounded memory of frequent words.
 
 The tokenizers library encodes about a megabyte a second; most of a corpus is
-a small set of words. Both kinds of vocabulary here never merge across a
-space that stands between two other characters, so a text is cut there, pieces
-are looked up, and only unseen ones go to the library.
+a small set of words. Texts of Latin letters, digits and ASCII signs are cut
+into parts by the pre-tokenizer's own pattern, and only parts not seen before go
+to the library's model. Of other texts: both kinds of vocabulary here never
+merge across a space that stands between two other characters, so a text is cut
+there, pieces are looked up, and only unseen ones go to the library.
 """
 
 from __future__ import annotations
@@ -16,6 +18,12 @@ import numpy as np
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _BLANKS = re.compile(r" \s")
+#: Texts of these signs only: letters, digits and blanks are then those of the patterns below.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+_SHORT = r"'(?:[stmd]|re|ve|ll)"
+#: Parts into which the pre-tokenizers cut a plain text; the first kind's blanks belong to the parts, the second kind drops them.
+_WITH_BLANKS = re.compile(_SHORT + r"| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
+_WITHOUT_BLANKS = re.compile(_SHORT + r"|[a-zà-öø-ÿß]+|[0-9]|[^\sa-zà-öø-ÿß0-9]+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LONGEST = 64
 
@@ -83,6 +91,22 @@ class _Words(dict):
         return self.marks[mark]
 
 
+class _Parts(dict):
+    """Ids of the parts of plain texts; when ``limit`` of them are held it starts anew."""
+
+    def __init__(self, words: _Words, limit: int):
+        super().__init__()
+        self.words, self.limit = words, limit
+
+    def __missing__(self, part: str) -> bytes:
+        made = self.words.part(part)
+        if len(part) <= _LONGEST:
+            if len(self) >= self.limit:
+                self.clear()
+            self[part] = made
+        return made
+
+
 class TextEncoder:
     """``encode(text)``: the library's ids as little-endian unsigned 32-bit integers.
 
@@ -94,7 +118,10 @@ class TextEncoder:
 
         self._library = Tokenizer.from_file(path)
         self._spaced = self._library.normalizer is None  # blanks belong to the tokens; else they are dropped
-        self._words = _Words(self._library, " " if self._spaced else "", self._spaced, limit)
+        self._words = _Words(self._library, " " if self._spaced else "", self._spaced, limit // 4)
+        self._parts = _Parts(self._words, limit)
+        added = [t.content for t in self._library.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(map(re.escape, added)), 0 if self._spaced else re.IGNORECASE) if added else None
 
     @property
     def vocabulary(self) -> int:
@@ -103,6 +130,9 @@ class TextEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if _PLAIN.fullmatch(text) and not (self._added and self._added.search(text)):
+            parts = _WITH_BLANKS.findall(text) if self._spaced else _WITHOUT_BLANKS.findall(text.lower())
+            return b"".join(map(self._parts.__getitem__, parts))
         if not self._spaced:
             return b"".join(map(self._words.__getitem__, text.split(" ")))
         first, *rest = _CUT.split(text) if _BLANKS.search(text) else text.split(" ")

@@ -30,6 +30,31 @@ def test_encoder_equals_the_library(path):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+PLAIN = [" ", "  ", "\n", "\t", "a", "B", "é", "É", "ß", "÷", "×", "'s", "'S", "don't", "'ll", "1", "234", "_", "-", "!", "...", "\r\n", "x.", "word", "Word,", " the", "<", "|>", "<|endoftext|>", "ÿ", "Ñandú", "'"]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_plain_texts_equal_the_library(path):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(path), TextEncoder(path, limit=50)
+    rng = random.Random(2)
+    for _ in range(8000):
+        text = "".join(rng.choice(PLAIN) for _ in range(rng.randrange(20)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_rows_of_one_id_have_one_order(spark):
+    rows = [(k // 4 if k % 3 else None, f"text {k} " * (k % 7)) for k in range(80)]
+    seen = []
+    for parts in (2, 3):
+        docs = spark.createDataFrame([(str(a) if a is not None else None, t) for a, t in rows], "doc_id string, text string").repartition(parts + 2)
+        path = rans.new_token_file(spark)
+        rans.write_token_file(docs, path, BYTES, end_id=2, parts=parts)
+        seen.append(sorted((r["start"], r["doc_id"], r["ids"]) for r in rans.read_token_file(spark, path).collect()))
+    assert seen[0] == seen[1]
+
+
 def test_rans_round_trip_checkpoints_and_damage():
     rng = np.random.default_rng(2)
     ids = rng.zipf(1.3, size=200_000) % 50_257
