@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlake.llm.work import materialise
+from formlake.llm.work import materialise, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -42,5 +42,6 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         if tuple(now) == mark or not now["n"]:
             break
         mark = tuple(now)
-        e = materialise(_star(_star(e, True), False), "star")
+        last, e = e, materialise(_star(_star(e, True), False), "star")
+        release(last)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b"))).distinct()

@@ -43,9 +43,10 @@ class Packer:
 
     def add(self, piece: Piece) -> None:
         doc, start, ids, total = piece
-        while len(ids) // 4 >= self.window:
-            self.emit([(doc, start, ids[: 4 * self.window], total)])
-            start, ids = start + self.window, ids[4 * self.window :]
+        whole = len(ids) // 4 // self.window * self.window
+        for at in range(0, whole, self.window):
+            self.emit([(doc, start + at, ids[4 * at : 4 * (at + self.window)], total)])
+        start, ids = start + whole, ids[4 * whole :]
         while ids:
             n = len(ids) // 4
             at = bisect_left(self.open, (self.window - n + 1, -1)) - 1

@@ -44,9 +44,9 @@ class Policy:
     version: str
     rules: tuple[str, ...]
 
-    @property
-    def mask(self) -> int:
-        names = list(RULES)
+    def mask(self, rules: dict[str, str] | None = None) -> int:
+        """The policy's bits in a ledger of ``rules`` (RULES by default); a rule that the ledger lacks raises ValueError."""
+        names = list(RULES if rules is None else rules)
         return sum(1 << names.index(r) for r in self.rules)
 
 
@@ -123,13 +123,19 @@ def ledger(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rules: d
             yield pa.RecordBatch.from_arrays([b.column(0), *_measured(b.column(1))], names=["id", *_MEASURES])
 
     measured = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{m} long" for m in _MEASURES))
-    bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(0).cast("long") for k, rule in enumerate((rules or RULES).values())]
-    return measured.select(F.col("id").alias(id_col), *_MEASURES, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("failed"))
+    return measured.select(F.col("id").alias(id_col), *_MEASURES, _failures(rules).alias("failed"))
 
 
-def passes(policy: Policy, failed: str = "failed") -> Column:
-    """True where a row of the ledger fails none of the policy's rules."""
-    return F.col(failed).bitwiseAND(F.lit(policy.mask)) == 0
+def _failures(rules: dict[str, str] | None) -> Column:
+    """The bits of the rules that the measurements fail."""
+    bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(0).cast("long") for k, rule in enumerate((RULES if rules is None else rules).values())]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("long"))
+
+
+def passes(policy: Policy, failed: str | Column = "failed", rules: dict[str, str] | None = None) -> Column:
+    """True where a row of the ledger, made with ``rules``, fails none of the policy's rules."""
+    failed = F.col(failed) if isinstance(failed, str) else failed
+    return failed.bitwiseAND(F.lit(policy.mask(rules))) == 0
 
 
 def keep(docs: DataFrame, policy: Policy = CURRENT, text: str = "text") -> DataFrame:
@@ -141,20 +147,19 @@ def keep(docs: DataFrame, policy: Policy = CURRENT, text: str = "text") -> DataF
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), *_measured(b.column(1))], names=["doc", *_MEASURES])
 
-    kept = " and ".join(f"not ({RULES[r]})" for r in policy.rules)
-    return rows.mapInArrow(run, measured).filter(kept).select("doc.*")
+    return rows.mapInArrow(run, measured).filter(passes(policy, _failures(None))).select("doc.*")
 
 
-def ablations(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
+def ablations(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: dict[str, str] | None = None) -> DataFrame:
     """(version, rule, n_kept, n_kept_without, only_failure): effects of leaving out one rule of a policy.
 
-    ``rows``: a ledger. The ledger shrinks to a count per failure pattern first,
+    ``rows``: a ledger, made with ``rules``. The ledger shrinks to a count per failure pattern first,
     at most two to the number of rules.
     """
     spark = rows.sparkSession
     patterns = rows.groupBy("failed").agg(F.count("*").alias("n"))
-    names = list(RULES)
-    table = spark.createDataFrame([(p.version, p.mask, r, 1 << names.index(r)) for p in policies for r in p.rules], "version string, mask long, rule string, bit long")
+    names = list(RULES if rules is None else rules)
+    table = spark.createDataFrame([(p.version, p.mask(rules), r, 1 << names.index(r)) for p in policies for r in p.rules], "version string, mask long, rule string, bit long")
     hit = F.col("failed").bitwiseAND(F.col("mask"))
     joined = patterns.join(F.broadcast(table), F.lit(True))  # the policy table is fixed and a few rows long
     rest = hit.bitwiseAND(F.bitwise_not("bit"))

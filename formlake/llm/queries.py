@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlake.llm import chat_format, line_dedup, mixing, packing, quality_classifier, quality_rules, rans, simhash_dedup, topk_search, url_filter
+from formlake.llm.work import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +37,16 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    rows = materialise(quality_rules.ledger(table(spark, sf_dir, "documents")), "ledger")
     failed = ~quality_rules.passes(quality_rules.BASE)
     return rows.withColumns({"base_failed": failed, "kept": ~failed & quality_rules.passes(quality_rules.CURRENT)})
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version decides alone, from the stored bits."""
+    return quality_rules.ablations(materialise(quality_rules.ledger(table(spark, sf_dir, "documents")), "ledger"))
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = rans.new_token_file(spark)
     rans.write_token_file(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), end_id=2)
@@ -83,7 +89,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op")}
+    return {k: f for k, f in globals().items() if k.startswith("op")} | {"llm_rule_ablations": rule_ablations}
 
 
 _BLANK = r"[^\x20\x09-\x0D]"
@@ -108,6 +114,15 @@ r as (select *, ("""
     + ")::bigint as failed from m) select *, failed & 3 <> 0 as base_failed, failed = 0 as kept from r"
 )
 
+_NAMES = list(quality_rules.RULES)
+_ABLATIONS = (
+    _OP4.replace("select *, failed & 3 <> 0 as base_failed, failed = 0 as kept from r", "")
+    + ", t(version, mask, rule, bit) as (values "
+    + ", ".join(f"('{p.version}', {p.mask()}, '{r}', {1 << _NAMES.index(r)})" for p in quality_rules.POLICIES for r in p.rules)
+    + """) select version, rule, count(*) filter (failed & mask = 0) as n_kept, count(*) filter (failed & mask & ~bit = 0) as n_kept_without,
+count(*) filter (failed & mask = bit) as only_failure from r cross join t group by 1, 2"""
+)
+
 _OP7 = r"""with c as (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
 n as (select *, case when r = lag(r) over (partition by conv_id order by turn, r, x) then 7 else 14 + length(r) end + length(x) + length(x) - length(replace(x, '\', '')) + coalesce(list_sum(list_transform(regexp_extract_all(x, '#+'), lambda h: length(h) - 1)), 0)
 + (2 * length(x) - length(replace(x, '</turn>', '')) - length(replace(x, '<turn/>', ''))) // 7 as size from c)
@@ -117,4 +132,4 @@ sha256(coalesce(string_agg(x, '' order by turn, r, x) filter (r = 'assistant'),
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins; the other operators' hashes, models, codes and searches for components are beyond SQL."""
-    return {"op3_topk_search": _OP3, "op4_quality_rules": _OP4, "op7_chat_format": _OP7}
+    return {"op3_topk_search": _OP3, "op4_quality_rules": _OP4, "llm_rule_ablations": _ABLATIONS, "op7_chat_format": _OP7}

@@ -21,5 +21,5 @@ def test_stages_keep_columns_and_clean_documents(spark):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2 : n.index("_")]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2 : n.index("_")]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and set(queries.oracle_sql()) <= set(queries.queries())
