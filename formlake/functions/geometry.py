@@ -30,8 +30,9 @@ def warped_box(x1: Column, y1: Column, x2: Column, y2: Column, h: Sequence[float
 
 
 def folded_angle(degrees: Column) -> Column:
-    """Angle modulo a right angle, in [-45, 45)."""
-    return F.pmod(degrees + 45, F.lit(90)) - 45
+    """Angle modulo a right angle, in (-45, 45]."""
+    turned = F.pmod(degrees, F.lit(90))
+    return F.when(turned > 45, turned - 90).otherwise(turned)
 
 
 def within_budget(w: Column, h: Column, tokens: int, patch: int = 28) -> tuple[Column, Column, Column]:
@@ -43,6 +44,6 @@ def within_budget(w: Column, h: Column, tokens: int, patch: int = 28) -> tuple[C
 
 
 def overlap_share(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    """Common length of two intervals over the shorter one."""
-    common = F.least(a1, b1) - F.greatest(a0, b0)
-    return F.greatest(common, F.lit(0)) / F.greatest(F.least(a1 - a0, b1 - b0), F.lit(1))
+    """Common length of two intervals over the shorter one; 0 where they have no length in common."""
+    common, shorter = F.least(a1, b1) - F.greatest(a0, b0), F.least(a1 - a0, b1 - b0)
+    return F.when(common <= 0, 0.0).when(shorter <= 0, 1.0).otherwise(common / F.nullif(shorter, F.lit(0)))

@@ -40,11 +40,46 @@ def clean_name(c: Column) -> Column:
     return capitalised(F.trim(F.regexp_replace(kept, r"\s+", " ")))
 
 
+# The sign with which a recogniser ends its output, and the wrappers of formulas.
+STOP_SIGN = "<｜end▁of▁sentence｜>"
+FORMULAS = r"(?is)\\\[\s*(.*?)\s*\\\]|\\\(\s*(.*?)\s*\\\)|\$\$\s*(.*?)\s*\$\$|\$[^\S\n]*([^$\n]*?)[^\S\n]*\$|<math[^>]*>\s*(.*?)\s*</math>"
+STRAY_FORMULA = r"(?i)\\[\[\]()]|</?math[^>]*>"
+# Signs around a value that are not part of it, and ticked and empty boxes.
+LEADING_SIGNS, TRAILING_SIGNS = r"^[\s:.\-–—|_*]+", r"[\s:|_*]+$"
+BOXES_ONLY = "^(?:\\s|\\[\\s*[xX✕✖✗✘✓✔☒×⨯]?\\s*\\]|[☐☑☒□❑])+$"
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")
+
+
+def without_formulas(c: Column, depth: int = 3) -> Column:
+    """Formulas without their wrappers, a blank on each side; nested ones up to ``depth``, wrappers without a partner dropped."""
+    for _ in range(depth):
+        c = F.regexp_replace(c, FORMULAS, " $1$2$3$4$5 ")
+    return F.regexp_replace(c, STRAY_FORMULA, " ")
+
+
 def clean_text(c: Column) -> Column:
-    """Heading and emphasis marks removed, every run of blanks (no-break ones too) one blank."""
-    out = F.regexp_replace(c, r"(?m)^#{1,6} +", "")
-    out = F.regexp_replace(out, r"[*_`]+", "")
-    return F.trim(F.regexp_replace(out, "[\\s ]+", " "))
+    """Markup that is never part of a value removed: the stop sign, formulas' wrappers, a heading mark at the start, emphasis marks.
+
+    Single underscores, backticks and line ends stay; runs of blanks, tabs and no-break blanks become one blank.
+    """
+    out = _stripped(without_formulas(F.replace(c, F.lit(STOP_SIGN), F.lit(" "))))
+    out = F.regexp_replace(F.regexp_replace(out, r"^#+\s*", ""), r"\*{1,3}|_{2,}", "")
+    return _stripped(F.regexp_replace(out, r"[ \t ]+", " "))
+
+
+def clean_value(c: Column) -> Column:
+    """A value without the signs around it; empty where only ticked or empty boxes are left."""
+    out = F.regexp_replace(F.regexp_replace(_stripped(c), LEADING_SIGNS, ""), TRAILING_SIGNS, "")
+    return F.when(out.rlike(BOXES_ONLY), "").otherwise(_stripped(out))
+
+
+def without_added_end(original: Column, corrected: Column) -> Column:
+    """``corrected`` without a final ``.``, ``!`` or ``?`` that ``original`` does not have, and the blanks before it."""
+    added = corrected.rlike(r"[.!?]\z") & ~F.coalesce(original.rlike(r"[.!?]\z"), F.lit(False))
+    return F.when(added, F.regexp_replace(corrected, r"\s*[.!?]\z", "")).otherwise(corrected)
 
 
 def slug(c: Column) -> Column:

@@ -32,20 +32,24 @@ def local_maxima(profile: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), n - 1), peak)
 
 
-def prominences(peaks: DataFrame, profile: DataFrame, key: str) -> DataFrame:
-    """(key, i, prominence): how far one must descend from a peak to reach higher ground.
+def prominences(profile: Column) -> Column:
+    """Array of struct<i, prominence> of the local maxima: how far one must descend from a peak to reach higher ground.
 
-    ``profile``: (key, i, v); ``peaks``: (key, i) of it. Each side's base is the
-    lowest value up to the next higher one; a peak nothing rises above has the
-    lowest value of the side.
+    Each side's base is the lowest value up to the next higher one; a side on
+    which nothing rises above the peak has its lowest value.
     """
-    p = profile.select(key, F.col("i").alias("j"), F.col("v").alias("w"))
-    top = peaks.join(profile, [key, "i"]).select(key, "i", "v")
-    met = top.join(p, key)
-    reach = met.groupBy(key, "i", "v").agg(F.max(F.when((F.col("j") < F.col("i")) & (F.col("w") > F.col("v")), F.col("j"))).alias("l"), F.min(F.when((F.col("j") > F.col("i")) & (F.col("w") > F.col("v")), F.col("j"))).alias("r"))
-    back = reach.join(p, key).filter((F.col("j") > F.coalesce("l", F.lit(-1))) & (F.col("j") < F.coalesce("r", F.lit(2**31 - 1))))
-    low = back.groupBy(key, "i", "v").agg(F.min(F.when(F.col("j") <= F.col("i"), F.col("w"))).alias("a"), F.min(F.when(F.col("j") >= F.col("i"), F.col("w"))).alias("b"))
-    return low.select(key, "i", (F.col("v") - F.greatest("a", "b")).alias("prominence"))
+
+    def base(side: Column, top: Column) -> Column:
+        higher = F.array_position(F.transform(side, lambda x: x > top), F.lit(True)).cast("int")
+        own = F.when(higher > 0, F.slice(side, F.lit(1), F.greatest(higher - 1, F.lit(0)))).otherwise(side)
+        return F.least(top, F.coalesce(F.array_min(own), top))
+
+    def of(i: Column) -> Column:
+        top = F.get(profile, i)
+        left, right = F.reverse(F.slice(profile, F.lit(1), i)), F.slice(profile, i + 2, F.size(profile))
+        return F.struct(i.alias("i"), (top - F.greatest(base(left, top), base(right, top))).alias("prominence"))
+
+    return F.transform(local_maxima(profile), of)
 
 
 def islands(rows: DataFrame, keys: list[str], at: str, gap: float) -> DataFrame:
@@ -82,9 +86,13 @@ def token_spans(tokens: DataFrame, keys: list[str], order: str, text: str) -> Da
     return tokens.withColumn("e", F.sum(F.length(text)).over(w)).withColumn("s", F.col("e") - F.length(text))
 
 
-def boundaries(peaks: DataFrame, profile: DataFrame, key: str) -> DataFrame:
-    """(key, left, right, cut): the lowest place between neighbouring peaks, the first of equally low ones."""
-    w = Window.partitionBy(key).orderBy("i")
-    pairs = peaks.select(key, F.col("i").alias("left"), F.lead("i").over(w).alias("right")).filter("right is not null")
-    met = pairs.join(profile.select(key, "i", "v"), key).filter("i >= left and i <= right")
-    return met.groupBy(key, "left", "right").agg(F.min_by("i", F.struct("v", "i")).alias("cut"))
+def boundaries(profile: Column) -> Column:
+    """Array of struct<left, right, cut>: the lowest place between neighbouring peaks, the first of equally low ones."""
+    peaks = local_maxima(profile)
+
+    def between(right: Column, k: Column) -> Column:
+        left = F.get(peaks, k)
+        valley = F.slice(profile, left + 1, right - left + 1)
+        return F.struct(left.alias("left"), right.alias("right"), (left + F.array_position(valley, F.array_min(valley)).cast("int") - 1).alias("cut"))
+
+    return F.transform(F.slice(peaks, F.lit(2), F.greatest(F.size(peaks) - 1, F.lit(0))), between)

@@ -23,12 +23,12 @@ def j01_theta_best(spark: SparkSession, sf: str) -> DataFrame:
     return matching.nearest_entries(values, entries, 0.25).withColumn("distance", F.col("distance").cast("long"))
 
 
-@query(f"""with b as (select vec_id, label, (select sum(case when x > 0 then 1::bigint << (i - 1)::int else 0 end)::bigint from (select unnest(embedding[1:60]) as x, generate_subscripts(embedding[1:60], 1) as i)) as code from embeddings),
+@query(f"""with b as (select vec_id, label, (select sum(case when x > 0 then 1::ubigint << (i - 1)::int else 0 end)::ubigint from (select unnest(embedding) as x, generate_subscripts(embedding, 1) as i)) as code from embeddings),
 m as (select l.vec_id as a, r.vec_id as b, bit_count(xor(l.code, r.code)) as distance from b l, b r where l.label = r.label and l.vec_id % 2 = 0 and r.vec_id % 2 = 1),
 k as (select *, row_number() over (partition by a order by distance, b) as x, row_number() over (partition by b order by distance, a) as y from m)
 select a, b, distance::bigint as distance from k where x = 1 and y = 1""")
 def j02_mutual_nn(spark: SparkSession, sf: str) -> DataFrame:
-    code = F.aggregate(F.transform(F.slice("embedding", 1, 60), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+    code = F.aggregate(F.transform(F.col("embedding"), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
     e = load(spark, sf, "embeddings").select("vec_id", "label", code.alias("code"))
     left = e.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("code").alias("ca"))
     right = e.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("b"), F.col("label").alias("lb"), F.col("code").alias("cb"))
@@ -47,8 +47,8 @@ def j03_interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""with b as (select l_orderkey as k, l_linenumber as n, l_quantity as y0, l_quantity + 5 + l_linenumber as y1 from lineitem)
-select l.k, l.n as a, r.n as b, round(greatest(least(l.y1, r.y1) - greatest(l.y0, r.y0), 0) / greatest(least(l.y1 - l.y0, r.y1 - r.y0), 1), 6) as share from b l join b r on l.k = r.k and l.n < r.n
-where greatest(least(l.y1, r.y1) - greatest(l.y0, r.y0), 0) / greatest(least(l.y1 - l.y0, r.y1 - r.y0), 1) >= 0.3""")
+select l.k, l.n as a, r.n as b, round(greatest(least(l.y1, r.y1) - greatest(l.y0, r.y0), 0) / least(l.y1 - l.y0, r.y1 - r.y0), 6) as share from b l join b r on l.k = r.k and l.n < r.n
+where greatest(least(l.y1, r.y1) - greatest(l.y0, r.y0), 0) / least(l.y1 - l.y0, r.y1 - r.y0) >= 0.3""")
 def j04_vertical_overlap(spark: SparkSession, sf: str) -> DataFrame:
     b = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("y0"), (F.col("l_quantity") + 5 + F.col("l_linenumber")).alias("y1"))
     r = b.select("k", F.col("n").alias("b"), F.col("y0").alias("z0"), F.col("y1").alias("z1"))
@@ -81,8 +81,8 @@ def j07_bleed(spark: SparkSession, sf: str) -> DataFrame:
     return matching.bleed_report(cells, shown)
 
 
-@query("""with w as (select doc_id, unnest(string_split(text, ' ')) as tok, generate_subscripts(string_split(text, ' '), 1) as pos from documents where doc_id % 50 = 0)
+@query("""with w as (select doc_id, unnest(string_split(text, ' ')) as tok, generate_subscripts(string_split(text, ' '), 1) as pos from documents)
 select doc_id, pos - 1 as pos, (sum(length(tok)) over (partition by doc_id order by pos) - length(tok))::bigint as s, (sum(length(tok)) over (partition by doc_id order by pos))::bigint as e from w""")
 def e09_token_spans(spark: SparkSession, sf: str) -> DataFrame:
-    w = load(spark, sf, "documents").filter("doc_id % 50 = 0").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "tok"))
+    w = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "tok"))
     return ordered.token_spans(w, ["doc_id"], "pos", "tok").select("doc_id", F.col("pos").cast("long").alias("pos"), "s", "e")

@@ -47,13 +47,12 @@ def e03_local_maxima(spark: SparkSession, sf: str) -> DataFrame:
     return profile(spark, sf).select("vec_id", F.explode(F.transform(ordered.local_maxima(F.col("p")), lambda i: i.cast("long"))).alias("i"))
 
 
-@query(f"""with p as ({_PROFILE}), k as (select m.vec_id, m.i, p.v from ({_MAXIMA}) m join p on p.vec_id = m.vec_id and p.i = m.i where m.vec_id % 5 = 0),
+@query(f"""with p as ({_PROFILE}), k as (select m.vec_id, m.i, p.v from ({_MAXIMA}) m join p on p.vec_id = m.vec_id and p.i = m.i),
 r as (select k.vec_id, k.i, k.v, coalesce(max(p.i) filter (p.i < k.i and p.v > k.v), -1) as l, coalesce(min(p.i) filter (p.i > k.i and p.v > k.v), 999) as h from k join p on p.vec_id = k.vec_id group by 1, 2, 3)
 select r.vec_id, r.i, (r.v - greatest(min(p.v) filter (p.i <= r.i), min(p.v) filter (p.i >= r.i)))::double as prominence from r join p on p.vec_id = r.vec_id and p.i > r.l and p.i < r.h group by r.vec_id, r.i, r.v""")
 def e04_prominence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = profile(spark, sf).filter("vec_id % 5 = 0")
-    peaks = rows.select("vec_id", F.explode(ordered.local_maxima(F.col("p"))).alias("i"))
-    return ordered.prominences(peaks, points(rows), "vec_id").withColumn("i", F.col("i").cast("long"))
+    found = ordered.prominences(F.col("p"))
+    return profile(spark, sf).select("vec_id", F.inline(found)).withColumn("i", F.col("i").cast("long"))
 
 
 @query("""with d as (select o_custkey, epoch(o_orderdate)::bigint // 86400 as day from orders), g as (select *, case when day - lag(day) over (partition by o_custkey order by day) > 30 then 1 else 0 end as f from d), i as (select *, sum(f) over (partition by o_custkey order by day range unbounded preceding) as island from g)
@@ -66,9 +65,7 @@ def e05_islands(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""with p as ({_PROFILE}), k as (select vec_id, i as l, lead(i) over (partition by vec_id order by i) as r from ({_MAXIMA})), m as (select k.vec_id, k.l, k.r, p.i, row_number() over (partition by k.vec_id, k.l order by p.v, p.i) as n from k join p on p.vec_id = k.vec_id and p.i between k.l and k.r where k.r is not null)
 select vec_id, l as "left", r as "right", i as cut from m where n = 1""")
 def e06_boundaries(spark: SparkSession, sf: str) -> DataFrame:
-    rows = profile(spark, sf)
-    peaks = rows.select("vec_id", F.explode(ordered.local_maxima(F.col("p"))).alias("i"))
-    out = ordered.boundaries(peaks, points(rows), "vec_id")
+    out = profile(spark, sf).select("vec_id", F.inline(ordered.boundaries(F.col("p"))))
     return out.select("vec_id", *[F.col(c).cast("long").alias(c) for c in ("left", "right", "cut")])
 
 
@@ -86,10 +83,10 @@ def e08_next_non_label(spark: SparkSession, sf: str) -> DataFrame:
     return out.filter("role = 'user'").select("conv_id", "turn", "answer")
 
 
-@query("""select a, b, d from (select l.vec_id as a, r.vec_id as b, round(sqrt(list_sum(list_transform(list_zip(l.embedding, r.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))), 6) as d from embeddings l join embeddings r on l.label = r.label and l.vec_id < r.vec_id where l.vec_id % 4 = 0) order by d, a, b limit 500""")
+@query("""select a, b, d from (select l.vec_id as a, r.vec_id as b, round(sqrt(list_sum(list_transform(list_zip(l.embedding, r.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))), 6) as d from embeddings l join embeddings r on l.label = r.label and l.vec_id < r.vec_id ) order by d, a, b limit 500""")
 def f01_topk_matches(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     r = e.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"), F.col("embedding").alias("eb"))
-    met = e.filter("vec_id % 4 = 0").join(r, (F.col("label") == F.col("lb")) & (F.col("vec_id") < F.col("b")))
+    met = e.join(r, (F.col("label") == F.col("lb")) & (F.col("vec_id") < F.col("b")))
     d = F.sqrt(F.aggregate(F.zip_with("embedding", "eb", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda a, x: a + x))
     return met.select(F.col("vec_id").alias("a"), "b", F.round(d, 6).alias("d")).orderBy("d", "a", "b").limit(500)

@@ -31,11 +31,55 @@ def h03_email_extract_split(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "mail", text.email_local(F.col("mail")).alias("local"), text.email_domain(F.col("mail")).alias("domain"))
 
 
-@query("""select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^#{1,6} +', '', 'g'), '[*_`]+', '', 'g'), '[\\s ]+', ' ', 'g')) as clean from documents""")
+def _stripped_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')"
+
+
+def _without_formulas_sql(x: str) -> str:
+    for _ in range(3):
+        x = f"regexp_replace({x}, '{text.FORMULAS}', ' \\1\\2\\3\\4\\5 ', 'g')"
+    return f"regexp_replace({x}, '{text.STRAY_FORMULA}', ' ', 'g')"
+
+
+def _clean_sql(x: str) -> str:
+    x = _stripped_sql(_without_formulas_sql(f"replace({x}, '{text.STOP_SIGN}', ' ')"))
+    x = rf"regexp_replace(regexp_replace({x}, '^#+\s*', ''), '\*{{1,3}}|_{{2,}}', '', 'g')"
+    return _stripped_sql(rf"regexp_replace({x}, '[ \t\x{{a0}}]+', ' ', 'g')")
+
+
+@query(f"select doc_id, {_clean_sql('text')} as clean from documents")
 def h04_clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", text.clean_text(F.col("text")).alias("clean"))
 
 
+_WRAPPED = ((r"\\[ ", r" \\]"), (r"\\(", r"\\)"), ("$$", "$$"), ("<math a>", "</MATH>"), ("**", "**"), ("# __", "__"))
+
+
+@query("select p_partkey, " + _clean_sql("list_extract([" + ", ".join(f"'{a}'".replace("\\\\", "\\") for a, _ in _WRAPPED) + "], (1 + p_partkey % 6)::int) || p_name || list_extract([" + ", ".join(f"'{b}'".replace("\\\\", "\\") for _, b in _WRAPPED) + "], (1 + p_partkey % 6)::int) || ' a_b $' || p_size || '$'") + " as clean from part")
+def h07_formulas(spark: SparkSession, sf: str) -> DataFrame:
+    k = (F.col("p_partkey") % 6).cast("int")
+    side = lambda n: F.get(F.array(*[F.lit(w[n].replace("\\\\", "\\")) for w in _WRAPPED]), k)
+    raw = F.concat(side(0), F.col("p_name"), side(1), F.lit(" a_b $"), F.col("p_size").cast("string"), F.lit("$"))
+    return load(spark, sf, "part").select("p_partkey", text.clean_text(raw).alias("clean"))
+
+
+_VALUES = ("case p_partkey % 5 when 0 then ': - ' || p_name || ' |_' when 1 then '[x]' when 2 then '– ' || p_name || ':' when 3 then '☐ [ ] ☒' else p_name end")
+
+
+@query(f"""select p_partkey, case when regexp_matches(v, '{text.BOXES_ONLY}') then '' else {_stripped_sql('v')} end as value
+from (select p_partkey, regexp_replace(regexp_replace(r, '{text.LEADING_SIGNS}', ''), '{text.TRAILING_SIGNS}', '') as v from (select p_partkey, {_VALUES} as r from part))""".replace("\\u2013\\u2014", "–—"))
+def h08_clean_value(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "part").select("p_partkey", text.clean_value(F.expr(_VALUES)).alias("value"))
+
+
+@query("""select conv_id, turn, case when regexp_matches(c, '[.!?]$') and not regexp_matches(o, '[.!?]$') then regexp_replace(c, '\\s*[.!?]$', '') else c end as value
+from (select conv_id, turn, coalesce(text, '') as o, coalesce(text, '') || case turn % 3 when 0 then ' !' when 1 then '.' else '' end as c from conversations)""")
+def h09_added_end(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "conversations").withColumn("o", F.coalesce("text", F.lit("")))
+    corrected = F.concat("o", F.when(F.col("turn") % 3 == 0, " !").when(F.col("turn") % 3 == 1, ".").otherwise(""))
+    return rows.select("conv_id", "turn", text.without_added_end(F.col("o"), corrected).alias("value"))
+
+
 @query("""select event_id, json_extract_string(props, '$.k') as k, array_to_string(list_sort(list_filter(json_keys(props), lambda x: x <> 'k')), ',') as extra from events""")
 def h05_json_props(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "events")
@@ -149,9 +193,9 @@ def g07_homography_warp(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "part").select("p_partkey", *[F.round(c, 4).alias(n) for n, c in box.items()])
 
 
-@query("select o_orderkey, ((o_orderkey * 7 - 400 + 45) % 90 + 90) % 90 - 45 as angle from orders")
+@query("select o_orderkey, case when a > 45 then a - 90 else a end as angle from (select o_orderkey, ((o_orderkey * 5 - 400) % 90 + 90) % 90 as a from orders)")
 def g08_angle_fold(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "orders").select("o_orderkey", geometry.folded_angle(F.col("o_orderkey") * 7 - 400).alias("angle"))
+    return load(spark, sf, "orders").select("o_orderkey", geometry.folded_angle(F.col("o_orderkey") * 5 - 400).alias("angle"))
 
 
 @query("""select p_partkey, floor(w * f)::bigint as w, floor(h * f)::bigint as h, floor(floor(w * f) * floor(h * f) / 784)::bigint as tokens from (select *, least(1.0::double, sqrt(802816.0::double / (w * h))) as f from (select p_partkey, 600 + p_size * 40 as w, 800 + p_size * 31 as h from part))""")

@@ -182,3 +182,22 @@ def test_ingest_parses_each_page_once(spark, tmp_path):
     spark.createDataFrame([(2, "<p>x</p><p>y</p>")], ingest.RAW).write.mode("append").json(landing)
     assert ingest.parse_new_pages(spark, landing, out, mark) == 1
     assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["Name: A", "x", "y"]
+
+
+def test_texts_as_people_write_them(spark):
+    from formlake.functions import dates, geometry, text
+
+    def run(f, values):
+        rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string")
+        return [r["o"] for r in rows.select("k", f(F.col("v")).alias("o")).orderBy("k").collect()]
+
+    assert run(text.clean_text, ["\\[ 68496 \\]", "## a_b `c`\nd", "*x* __y__  z\t", "<math>\\(5\\)</math>", None, "a" + text.STOP_SIGN, "$7"]) == ["68496", "a_b `c`\nd", "x y z", "5", None, "a", "$7"]
+    assert run(text.clean_value, [": – Müller |", "[x]", "☐ ☒", "x", None, "", "a.b:"]) == ["Müller", "", "", "x", None, "", "a.b"]
+    spelled = ["5. Mai 98", "5.Mai1998", "3. Marz 1990", "31. April 1990", " 1 maerz 2001 ", "l2. Jvni 2O04", "no date", None]
+    assert run(dates.corrected_spelled_date, spelled) == ["5. Mai 98", "5. Mai 1998", "3. März 1990", None, "1. März 2001", "12. Juni 2004", None, None]
+    assert run(lambda c: geometry.folded_angle(c.cast("int")), ["45", "-45", "90", "46", "134", "-10"]) == [45, 45, 0, -44, 44, -10]
+    boxes = spark.createDataFrame([(0.0, 0.5, 0.2, 0.6), (0.0, 1.0, 1.0, 2.0), (0.0, 4.0, 2.0, 2.0)], "a double, b double, c double, d double")
+    shares = [round(r[0], 6) for r in boxes.select(geometry.overlap_share(*[F.col(c) for c in "abcd"])).collect()]
+    assert shares == [0.75, 0.0, 0.0]
+    ends = spark.createDataFrame([("a", "a."), ("a?", "a!"), (None, "b ?"), ("a", "")], "o string, c string")
+    assert [r[0] for r in ends.select(text.without_added_end(F.col("o"), F.col("c"))).collect()] == ["a", "a!", "b", ""]
