@@ -16,15 +16,17 @@ task, so a bucket of n near copies emits at most n - 1 rows. Buckets above
 ``MAX_BUCKET`` are dealt out as pairs of salted parts: no link is lost and no
 task holds more than two parts.
 
-``keep_one_per_group`` wants word-shingle similarity instead of near bits: its
-wide radius only finds candidates, whose shingle sets are then compared.
+``keep_one_per_group`` wants word-shingle similarity instead of near bits. No
+choice of a few of 64 bits meets so wide a radius and still tells texts apart in
+a large corpus, so its buckets come from the shingles: each falls into a block
+by its hash, and texts meet where a block holds the same shingles. The bit-sliced
+comparison then passes over all but near ones, whose shingle sets are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ from formlake.llm.work import materialise
 
 RADIUS = 15  # of the candidates of keep_one_per_group
 SIMILARITY = 0.8
+IN_BLOCK = 4  # shingles of a block, at least; twice as many at most
+KEPT_BLOCKS = 24
 MAX_BUCKET = 8192
 RANDOM_BUCKET = 512
 _ITEMS = 1 << 15
@@ -64,6 +68,29 @@ def _majority(h: np.ndarray) -> int:
     return int(bits[0])
 
 
+def block_keys(distinct: np.ndarray, similarity: float) -> np.ndarray:
+    """Bucket keys (int64) of a text with these distinct shingle hashes.
+
+    A text of n shingles has 2^k blocks of IN_BLOCK to 2 IN_BLOCK shingles on
+    average, and keys for KEPT_BLOCKS of them; also for the k of n / similarity
+    shingles, so that texts of different sizes meet. Of similar texts with a
+    Jaccard similarity J a block of c shingles is the same with a chance of
+    about J^c or more.
+    """
+    if not len(distinct):
+        return np.zeros(0, np.int64)
+    keys = []
+    mixed = distinct * np.uint64(0x9E3779B97F4A7C15)
+    for k in sorted({max(0, int(n / IN_BLOCK).bit_length() - 1) for n in (len(distinct), len(distinct) / similarity)}):
+        block = (mixed >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(mixed), np.int64)
+        kept = block < KEPT_BLOCKS
+        total = np.zeros(min(1 << k, KEPT_BLOCKS), np.uint64)
+        np.add.at(total, block[kept], distinct[kept])
+        some = np.flatnonzero(total)
+        keys.append((total[some] ^ (some.astype(np.uint64) + np.uint64(1 + 64 * k)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
+    return np.concatenate(keys)
+
+
 def simhash(data: bytes, words: int) -> int:
     """Fingerprint of one UTF-8 text as a signed 64-bit integer."""
     parts = data.lower().split()
@@ -292,33 +319,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
-def _candidates(nodes: DataFrame, radius: int, similarity: float, m: int, every: int) -> DataFrame:
-    """Distinct pairs (a, b) of ``nodes`` (node, fingerprint, n, g) within ``radius``, as far as their numbers ``n`` of shingles allow ``similarity``.
+def _candidates(nodes: DataFrame, radius: int, similarity: float, every: int) -> DataFrame:
+    """Distinct pairs (a, b) of ``nodes`` (node, fingerprint, n, g, keys) that share a key and are within ``radius``, as far as their numbers ``n`` of shingles allow ``similarity``.
 
     ``every`` = 1: all pairs whose ``g`` differ. Above 1, a first look, for
-    groups of many near copies: of each ``every``-th choice of blocks, each
-    node's next neighbour in a bucket and the neighbours of the node that has most.
+    groups of many near copies: of each ``every``-th key, each node's next
+    neighbour in a bucket and the neighbours of the node that has most.
     """
-    cut = [64 * i // (radius + m) for i in range(radius + m + 1)]
-    number = {c: k for k, c in enumerate(combinations(range(radius + m), m))}
-    buckets = F.filter(_blocks(F.col("fingerprint"), radius, m), lambda _, k: k % every == 0) if every > 1 else _blocks(F.col("fingerprint"), radius, m)
-    bands = nodes.select("g", "fingerprint", "node", "n", F.explode(buckets).alias("bucket"))
+    keys = F.filter("keys", lambda _, k: k % every == 0) if every > 1 else F.col("keys")
+    bands = nodes.select("g", "fingerprint", "node", "n", F.explode(keys).alias("bucket"))
     dealt = _dealt(bands, "node").sortWithinPartitions("bucket", "i", "j", "g", "fingerprint", "node")
 
     def near_size(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.minimum(n[a], n[b]) >= (similarity - 1e-9) * np.maximum(n[a], n[b])
 
-    def first_bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The key of the first bucket in which both stand: that of the first m blocks that agree."""
-        x = a ^ b
-        agree = np.stack([(x >> np.uint64(cut[i])) & np.uint64((1 << (cut[i + 1] - cut[i])) - 1) == 0 for i in range(radius + m)], axis=1)
-        chosen = np.argsort(~agree, axis=1, kind="stable")[:, :m]
-        key = np.fromiter((number[tuple(c)] for c in chosen.tolist()), np.uint64, len(a))
-        widths, starts = np.diff(cut).astype(np.uint64), np.array(cut[:-1], np.uint64)
-        for c in chosen.T:
-            key = key << widths[c] | a >> starts[c] & (np.uint64(1) << widths[c]) - np.uint64(1)
-        return key.view(np.int64)
-
     def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         group = np.concatenate(([0], np.cumsum((rows[1:, :3] != rows[:-1, :3]).any(axis=1))))
         g, node, n = np.unique(rows[:, 3], return_inverse=True)[1], rows[:, 5], rows[:, 6]
@@ -327,8 +341,6 @@ def _candidates(nodes: DataFrame, radius: int, similarity: float, m: int, every:
         if every == 1:
             for a, b in _hits(fp, group, radius, lambda: g):
                 some = (g[a] != g[b]) & near_size(n, a, b)
-                a, b = a[some], b[some]
-                some = first_bucket(fp[a], fp[b]) == rows[a, 0]
                 if some.any():
                     yield batch(a[some], b[some])
             return
@@ -390,8 +402,9 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     Texts of the same words (ASCII letters lower-cased) are one node, by 64
     bits of hash; null and blank texts are one too. Nodes are linked if their
-    SimHashes differ in at most ``radius`` bits and their sets of shingles of
-    ``words`` words have a Jaccard similarity of ``similarity`` or more.
+    SimHashes differ in at most ``radius`` bits, a block of their shingles is the
+    same (``block_keys``), and their sets of shingles of ``words`` words have a
+    Jaccard similarity of ``similarity`` or more.
     ``group`` names the connected group.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -406,18 +419,19 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 parts = x.lower().split() if x else []
                 h = _shingles(parts, words) if parts else np.zeros(0, np.uint64)
                 node = np.uint64(xxhash.xxh64_intdigest(b" ".join(parts), 7)).view(np.int64)
-                out.append((int(node), _majority(h) if parts else 0, len(np.unique(h))))
-            columns = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), (), ()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "row", "node", "fingerprint", "n"])
-
-    rows = materialise(base.select("id", "row", "text").mapInArrow(run, f"id {kind}, row long, node long, fingerprint long, n long"), "shingled")
-    nodes = materialise(rows.groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), F.min("n").alias("n"), F.min(F.struct("id", "row")).alias("place")), "nodes")
-    count = nodes.count()
-    m = min((1, 2, 3), key=lambda m: comb(radius + m, m) * (1 + (count >> (64 * m // (radius + m))) / 600))
-    links = _similar(_candidates(nodes.withColumn("g", F.col("node")), radius, similarity, m, 8), nodes, base, words, similarity)
+                distinct = np.unique(h)
+                out.append((int(node), _majority(h) if parts else 0, len(distinct), block_keys(distinct, similarity)))
+            columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+            columns = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "row", "node", "fingerprint", "n", "keys"])
+
+    rows = materialise(base.select("id", "row", "text").mapInArrow(run, f"id {kind}, row long, node long, fingerprint long, n long, keys array<long>"), "shingled")
+    nodes = rows.groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), F.min("n").alias("n"), F.min(F.struct("id", "row")).alias("place"), F.first("keys").alias("keys"))
+    nodes = materialise(nodes, "nodes")
+    links = _similar(_candidates(nodes.withColumn("g", F.col("node")), radius, similarity, 4), nodes, base, words, similarity)
     known = connected_components(links).withColumnRenamed("node", "k")
     grouped = nodes.join(known, F.col("node") == F.col("k"), "left").withColumn("g", F.coalesce("root", "node"))
-    links = links.unionByName(_similar(_candidates(grouped, radius, similarity, m, 1), nodes, base, words, similarity))
+    links = links.unionByName(_similar(_candidates(grouped, radius, similarity, 1), nodes, base, words, similarity))
     parts = connected_components(links).withColumnRenamed("node", "k")
     return rows.join(parts, F.col("node") == F.col("k"), "left").select(F.col("id").alias(id_col), "row", F.coalesce("root", "node").alias("group"))
 

@@ -237,11 +237,24 @@ def test_stage_finds_all_candidates_in_dealt_buckets(spark, monkeypatch):
     fp = base[rng.integers(0, 3, 240)]
     for _ in range(9):
         fp = fp ^ (np.uint64(1) << rng.integers(0, 64, 240).astype(np.uint64))
-    rows = [(int(x), k, int(rng.integers(90, 130)), k % 7) for k, x in enumerate(fp.view(np.int64))]
-    nodes = spark.createDataFrame(rows, "fingerprint long, node long, n long, g long")
-    near = lambda a, b: int(fp[a] ^ fp[b]).bit_count() <= 15 and min(rows[a][2], rows[b][2]) >= 0.8 * max(rows[a][2], rows[b][2])
+    rows = [(int(x), k, int(rng.integers(90, 130)), k % 7, [int(v) for v in {*rng.integers(0, 6, 5)}]) for k, x in enumerate(fp.view(np.int64))]
+    nodes = spark.createDataFrame(rows, "fingerprint long, node long, n long, g long, keys array<long>")
+    near = lambda a, b: int(fp[a] ^ fp[b]).bit_count() <= 15 and min(rows[a][2], rows[b][2]) >= 0.8 * max(rows[a][2], rows[b][2]) and set(rows[a][4]) & set(rows[b][4])
     want = {(a, b) for a in range(240) for b in range(a + 1, 240) if near(a, b)}
     monkeypatch.setattr(simhash_dedup, "MAX_BUCKET", 40)
-    for m in (1, 2):
-        assert {tuple(r) for r in simhash_dedup._candidates(nodes, 15, 0.8, m, 1).collect()} == {(a, b) for a, b in want if a % 7 != b % 7}
-    assert {tuple(r) for r in simhash_dedup._candidates(nodes, 15, 0.8, 2, 8).collect()} <= want
+    assert {tuple(r) for r in simhash_dedup._candidates(nodes, 15, 0.8, 1).collect()} == {(a, b) for a, b in want if a % 7 != b % 7}
+    assert {tuple(r) for r in simhash_dedup._candidates(nodes, 15, 0.8, 4).collect()} <= want
+
+
+def test_blocks_of_similar_texts_agree():
+    rng = np.random.default_rng(3)
+    found = []
+    for k in range(600):
+        n = int(rng.integers(12, 3000))
+        own = rng.integers(0, 2**64, size=n, dtype=np.uint64)
+        drop = round(n * 0.2 / 1.8)
+        other = np.concatenate((own[drop:], rng.integers(0, 2**64, size=drop, dtype=np.uint64))) if k % 2 else own[round(n * 0.2) :]
+        keys = [set(simhash_dedup.block_keys(np.unique(x), 0.8).tolist()) for x in (own, other)]
+        found.append(bool(keys[0] & keys[1]))
+    assert np.mean(found) >= 0.95
+    assert len(simhash_dedup.block_keys(np.zeros(0, np.uint64), 0.8)) == 0
