@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,13 +27,16 @@ def change_table(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return b.join(a, [key, "field"]).filter(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def changes_by_field(changes: DataFrame, n_cells: int | None = None, cells: DataFrame | None = None) -> DataFrame:
-    """(field, n_changed, share): share of all cells."""
-    counted = changes.groupBy("field").agg(F.count("*").alias("n_changed"))
-    total = cells.agg(F.count("*").alias("total")) if cells is not None else None
-    if total is None:
-        return counted.withColumn("share", F.round(F.col("n_changed") / F.lit(n_cells), 6))
-    return counted.join(F.broadcast(total), F.lit(True)).select("field", "n_changed", F.round(F.col("n_changed") / F.col("total"), 6).alias("share"))  # one row
+def changed_cells(cells: DataFrame, key: str, corrected: str = "after", value: str = "value") -> DataFrame:
+    """(key, field, before, after) of the cells whose correction, a column beside the value, differs: nothing is joined."""
+    return cells.select(key, "field", F.col(value).alias("before"), F.col(corrected).alias("after")).filter(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def changes_by_field(cells: DataFrame, corrected: str = "after", value: str = "value") -> DataFrame:
+    """(field, n_changed, share) of the fields with changes: share of all cells, in one aggregation over the cells."""
+    counted = cells.groupBy("field").agg(F.count("*").alias("n"), F.count_if(~F.col(value).eqNullSafe(F.col(corrected))).alias("n_changed"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # a row per field of the form
+    return counted.withColumn("total", total).filter("n_changed > 0").select("field", "n_changed", F.round(F.col("n_changed") / F.col("total"), 6).alias("share"))
 
 
 def joined_reasons(flags: DataFrame, keys: Sequence[str], order: str = "ord", reason: str = "reason", separator: str = "; ") -> DataFrame:

@@ -94,11 +94,11 @@ def lexicon(cells: DataFrame, entries: DataFrame, ratio: float = 0.34, value: st
     return cells.join(table, F.col(value) == F.col("_raw"), "left").withColumn(value, F.coalesce("fixed", value)).drop("_raw", "fixed")
 
 
-def corrected(cells: DataFrame, fields: Sequence[tuple[str, str, str | None]], domains: Sequence[str] = (), suffixes: Sequence[str] = ()) -> DataFrame:
-    """Apply each field's rule to its cells. ``fields``: (field, rule, pattern); fields not named pass through."""
+def corrected(cells: DataFrame, fields: Sequence[tuple[str, str, str | None]], domains: Sequence[str] = (), suffixes: Sequence[str] = (), name: str = "value") -> DataFrame:
+    """Apply each field's rule to its cells. ``fields``: (field, rule, pattern); fields not named pass through. ``name``: the column for the result."""
     v = F.col("value")
     out = v
     for field, rule, pattern in fields:
         args = {"numeric": (pattern,), "email": (domains,), "street_suffix": (suffixes,)}.get(rule, ())
         out = F.when(F.col("field") == field, RULES[rule](v, *args)).otherwise(out)
-    return cells.withColumn("value", out)
+    return cells.withColumn(name, out)

@@ -114,21 +114,19 @@ when 'number' then case when regexp_matches(value, '^[0-9]{{5}}$') then value wh
 else translate(value, 'l', '1') end as after from ({_NOISY})"""
 
 
-def change_set(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    before = noisy_cells(spark, sf)
-    after = rules.corrected(before, [("number", "numeric", "[0-9]{5}$"), ("date", "date", None)])
-    return before, C.change_table(before, after, "doc_id")
+def corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """The noisy cells with their corrected values beside them."""
+    return rules.corrected(noisy_cells(spark, sf), [("number", "numeric", "[0-9]{5}$"), ("date", "date", None)], name="after")
 
 
 @query(f"select doc_id, field, before, after from ({_FIXED}) where before <> after")
 def c01_diff_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return change_set(spark, sf)[1]
+    return C.changed_cells(corrections(spark, sf), "doc_id")
 
 
 @query(f"select field, count(*) as n_changed, round(count(*) / (select count(*) from ({_NOISY})), 6) as share from ({_FIXED}) where before <> after group by field")
 def d01_changes_by_field(spark: SparkSession, sf: str) -> DataFrame:
-    before, changes = change_set(spark, sf)
-    return C.changes_by_field(changes, cells=before)
+    return C.changes_by_field(corrections(spark, sf))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
