@@ -1,11 +1,17 @@
 """URL filters: rules first, gradient-boosted trees on lexical features for the rest.
 
-URLs that a rule decides are the labelled ones. Trees learn from a bounded
-sample of them (``sample``, by seeded hash) and judge the others by length,
-depth, digit ratio, entropy, parameter counts and statistics of suffixes (how
-often URLs with the same host suffix, file suffix or first folder are blocked).
-Features are column expressions and scoring runs in the JVM, so the whole table
-passes through one stage without a shuffle.
+URLs that a rule decides are the labelled ones; trees judge the others by
+length, depth, digit ratio, entropy, parameter counts and statistics of suffixes
+(how many labelled URLs have the same host suffix, file suffix or first folder,
+and how often they are blocked). Suffix statistics are taken over all labelled
+rows. The trees are fitted on a bounded sample of distinct labelled URLs
+(``sample``, by seeded hash), each with the statistics of hosts outside its own
+fold, so that no URL sees its own label. Every tree draws rows and features, so
+that no single feature decides alone.
+
+Features are column expressions and scoring runs in the JVM. Statistics are
+pre-aggregated and stored; their joins broadcast them only where Spark knows
+their size.
 """
 
 from __future__ import annotations
@@ -18,6 +24,8 @@ from pyspark.sql import functions as F
 from formlake.llm.work import materialise
 
 SAMPLE = 20_000
+FOLDS = 5
+_PRIOR = 2.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SUFFIXES = ("top_suffix", "domain_suffix", "file_suffix", "first_folder")
 _LEXICAL = ("n_url", "n_host", "n_path", "depth", "digits", "entropy", "n_parameters", "n_values", "n_dots", "n_hyphens", "fragment", "secure")
@@ -73,43 +81,96 @@ def _features(rows: DataFrame) -> DataFrame:
     ).withColumns({c: F.col(c).cast("double") for c in _LEXICAL})
 
 
+_COUNTS = [f"{k}{f}" for k in ("n", "bad") for f in range(FOLDS)]
+
+
+def suffix_statistics(labelled: DataFrame) -> DataFrame:
+    """(kind, suffix, n0.., bad0..): labelled and blocked rows of each suffix by fold of their hosts.
+
+    Takes the suffixes, ``label`` and ``fold`` of every labelled row. The kind
+    ``all`` counts all rows.
+    """
+    kinds = [F.struct(F.lit("all").alias("kind"), F.lit("").alias("suffix")), *(F.struct(F.lit(s).alias("kind"), F.col(s).alias("suffix")) for s in _SUFFIXES)]
+    each = labelled.select(F.explode(F.array(*kinds)).alias("s"), "label", "fold").select("s.*", "label", "fold")
+    counts = [F.count_if(F.col("fold") == f).alias(f"n{f}") for f in range(FOLDS)]
+    counts += [F.count_if((F.col("fold") == f) & (F.col("label") == 1)).alias(f"bad{f}") for f in range(FOLDS)]
+    return each.groupBy("kind", "suffix").agg(*counts)
+
+
+def _with_statistics(rows: DataFrame, stats: DataFrame, overall: float, out_of_fold: bool) -> DataFrame:
+    """Smoothed rate and count of each suffix, over all folds or all but the row's own."""
+
+    def total(k: str) -> Column:
+        parts = [F.coalesce(F.col(f"{k}{f}"), F.lit(0)) for f in range(FOLDS)]
+        return sum((F.when(F.col("fold") == f, 0).otherwise(p) if out_of_fold else p for f, p in enumerate(parts)), F.lit(0))
+
+    for kind in _SUFFIXES:
+        own = stats.filter(F.col("kind") == kind).select(F.col("suffix").alias("_s"), *_COUNTS)
+        rows = rows.join(own, F.col(kind) == F.col("_s"), "left")
+        rows = rows.withColumns({f"{kind}_rate": (total("bad") + _PRIOR * overall) / (total("n") + _PRIOR), f"{kind}_count": F.log1p(total("n"))}).drop("_s", *_COUNTS)
+    return rows
+
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    names = [*_LEXICAL, *(f"{s}_{k}" for s in _SUFFIXES for k in ("rate", "count"))]
+    return VectorAssembler(inputCols=names, outputCol="features").transform(rows)
+
+
+def training_vectors(labelled: DataFrame, stats: DataFrame, overall: float, sample: int) -> DataFrame:
+    """(features, label, host) of at most ``sample`` distinct labelled URLs, those with the smallest seeded hashes.
+
+    Hashes are looked for first, so that a URL of many copies counts once and
+    only hashes are shuffled. The rows come in one order, which the trees' draws
+    rest on.
+    """
+    edge = labelled.select("_order").distinct().orderBy("_order").limit(sample).agg(F.max("_order")).first()[0]
+    drawn = labelled.filter(F.col("_order") <= F.lit(edge)).dropDuplicates(["_order"])
+    out = _vectors(_with_statistics(drawn, stats, overall, out_of_fold=True))
+    return out.select("features", "label", "host", "_order").repartition(1).sortWithinPartitions("_order")
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", id_col: str = "page_id", sample: int = SAMPLE, seed: int = 2) -> DataFrame:
     """One row per input row: (id, host, path, rule, verdict, score).
 
     ``rule``: the rule that decided, else null; ``verdict``: ``allow`` or
     ``block``, the rule's, else the trees'; ``score``: their chance of
     ``block``, null where a rule decided. Null and empty URLs have an empty
-    host and path and are judged by the trees. Where the sample holds one
+    host and path and are judged by the trees. Where the labelled rows hold one
     verdict only, that is the method's verdict; without labelled rows it is
     ``allow``. Repeated rows are judged each, a null id stays null, an empty
     table gives an empty result, and other columns are not read.
     """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     host, path = url_parts(F.col("url"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("url"))
     rows = rows.withColumns({"host": host, "path": path}).withColumn("found", longest_rule(rules))
-    labelled = rows.filter("found is not null").withColumn("_order", F.xxhash64(F.lit(seed), "url"))
-    labelled = labelled.orderBy("_order", "url").limit(sample).withColumn("label", (F.col("found.verdict") == "block").cast("double"))
-    known = materialise(_features(labelled).select(*_LEXICAL, *_SUFFIXES, "label"), "labelled-urls")
-    seen = [r["label"] for r in known.select("label").distinct().collect()]
-
-    def with_statistics(some: DataFrame) -> DataFrame:
-        overall = sum(seen) / len(seen)
-        for suffix in _SUFFIXES:  # at most ``sample`` rows each
-            stats = known.groupBy(F.col(suffix).alias("_s")).agg(((F.sum("label") + 2 * overall) / (F.count("*") + 2)).alias(f"{suffix}_rate"), F.log1p(F.count("*")).alias(f"{suffix}_count"))
-            some = some.join(F.broadcast(stats), F.col(suffix) == F.col("_s"), "left").drop("_s")
-            some = some.fillna({f"{suffix}_rate": overall, f"{suffix}_count": 0.0})
-        names = [*_LEXICAL, *(f"{s}_{k}" for s in _SUFFIXES for k in ("rate", "count"))]
-        return VectorAssembler(inputCols=names, outputCol="features").transform(some)
-
-    if len(seen) == 2:
-        model = GBTClassifier(maxIter=12, maxDepth=4, maxBins=32, stepSize=0.3, seed=seed).fit(materialise(with_statistics(known).select("features", "label"), "url-vectors"))
-        scored = model.transform(with_statistics(_features(rows)))
+    decided, free = rows.filter("found is not null"), rows.filter("found is null")
+    stats, overall, labelled = learned_from(rows, seed)
+    if overall is not None and 0 < overall < 1:
+        model = boosted_trees(materialise(training_vectors(labelled, stats, overall, sample), "url-vectors"), seed)
+        scored = model.transform(_vectors(_with_statistics(_features(free), stats, overall, out_of_fold=False)))
         scored = scored.withColumn("score", vector_to_array("probability")[1])
     else:
-        scored = rows.withColumn("score", F.lit(float(seen[0]) if seen else 0.0))
-    verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    return scored.select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("found").isNull(), F.col("score")).alias("score"))
+        scored = free.withColumn("score", F.lit(overall or 0.0))
+    shared = [F.col("id").alias(id_col), "host", "path"]
+    judged = scored.select(*shared, F.lit(None).cast("string").alias("rule"), F.when(F.col("score") >= 0.5, "block").otherwise("allow").alias("verdict"), "score")
+    return decided.select(*shared, "found.rule", "found.verdict", F.lit(None).cast("double").alias("score")).unionByName(judged)
+
+
+def learned_from(rows: DataFrame, seed: int) -> tuple[DataFrame, float | None, DataFrame]:
+    """Suffix statistics, the share of blocked rows (None without labelled rows), and the labelled rows with their features."""
+    labelled = _features(rows.filter("found is not null")).withColumns(
+        {"label": (F.col("found.verdict") == "block").cast("double"), "fold": F.pmod(F.xxhash64(F.lit(seed), "host"), F.lit(FOLDS)), "_order": F.xxhash64(F.lit(seed), "url")}
+    )
+    stats = materialise(suffix_statistics(labelled), "url-suffixes")
+    n, bad = stats.filter("kind = 'all'").agg(F.sum(sum(F.col(f"n{f}") for f in range(FOLDS))), F.sum(sum(F.col(f"bad{f}") for f in range(FOLDS)))).first()
+    return stats, bad / n if n else None, labelled
+
+
+def boosted_trees(vectors: DataFrame, seed: int):
+    from pyspark.ml.classification import GBTClassifier
+
+    return GBTClassifier(maxIter=12, maxDepth=4, maxBins=32, stepSize=0.3, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=seed).fit(vectors)

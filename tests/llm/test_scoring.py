@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -37,6 +38,52 @@ def test_url_rules_by_brute_force(spark):
         assert r["verdict"] == want[1] if want else r["verdict"] in ("allow", "block")
 
 
+def _sites(n):
+    """URLs of hosts under com (allowed), net (blocked) and org (no rule); the folders differ in how often they are blocked."""
+    rng = random.Random(4)
+    return [(k, f"http://s{rng.randrange(40)}.example.{('net', 'com', 'org')[k % 3]}/{rng.choice(('es', 'fr') if k % 3 == 0 else ('en', 'de', 'fr'))}/{k}{rng.choice(('', '.html', '?a=1'))}") for k in range(n)]
+
+
+def test_suffix_statistics_cover_all_rows_and_leave_the_own_fold_out(spark):
+    rules = (("com/", "allow"), ("net/", "block"))
+    rows = spark.createDataFrame(_sites(600), "id long, url string")
+    host, path = url_filter.url_parts(F.col("url"))
+    rows = rows.withColumns({"host": host, "path": path}).withColumn("found", url_filter.longest_rule(rules))
+    stats, overall, labelled = url_filter.learned_from(rows, 2)
+    told = labelled.select("host", "first_folder", "label", "fold").collect()
+    assert overall == sum(r["label"] for r in told) / len(told)
+    got = {r["id"]: r["first_folder_rate"] for r in url_filter._with_statistics(labelled, stats, overall, True).collect()}
+    for r in labelled.collect():
+        like = [t["label"] for t in told if t["first_folder"] == r["first_folder"] and t["fold"] != r["fold"]]
+        assert got[r["id"]] == pytest.approx((sum(like) + 2 * overall) / (len(like) + 2))
+
+
+def test_trees_rank_urls_of_hosts_held_out(spark):
+    rules = (("com/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+    rows = spark.createDataFrame(_sites(1500), "id long, url string")
+    host, path = url_filter.url_parts(F.col("url"))
+    rows = rows.withColumns({"host": host, "path": path}).withColumn("found", url_filter.longest_rule(rules))
+    stats, overall, labelled = url_filter.learned_from(rows, 2)
+    vectors = url_filter.training_vectors(labelled, stats, overall, 1000).withColumn("out", F.pmod(F.xxhash64("host"), F.lit(4)) == 0).cache()
+    assert vectors.count() <= 1000
+    model = url_filter.boosted_trees(vectors.filter("not out"), 2)
+    from pyspark.ml.functions import vector_to_array
+
+    told = model.transform(vectors.filter("out")).select("label", vector_to_array("probability")[1].alias("p")).collect()
+    bad, good = ([r["p"] for r in told if r["label"] == x] for x in (1, 0))
+    auc = sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(bad) * len(good))
+    assert auc > 0.9
+    used = [k for k, x in enumerate(model.featureImportances.toArray()) if x > 0.01]
+    assert len(used) >= 3
+
+
+def test_one_url_of_many_copies_does_not_fill_the_sample(spark):
+    rows = [(k, "http://a.example.com/en/1") for k in range(300)] + [(1000 + k, f"http://b{k % 9}.net/es/{k}") for k in range(100)] + [(2000, "http://c.org/es/7")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), (("com/", "allow"), ("net/es/", "block")), sample=60).collect()
+    assert len(got) == len(rows)
+    assert 0 <= next(r["score"] for r in got if r["page_id"] == 2000) <= 1
+
+
 def test_trees_learn_from_rules_and_bear_nothing(spark):
     urls = [(k, f"http://s{k % 7}.example.{('net', 'com')[k % 2]}/{('en', 'es', 'de')[k % 3]}/{k}") for k in range(300)]
     rows = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), RULES).collect()
@@ -65,6 +112,28 @@ def test_top_k_equals_brute_force(spark, n, k):
     assert topk_search.top_k(df.limit(0), F.lit(True), k).count() == 0
 
 
+def test_top_k_of_large_components_is_exact(spark):
+    big = [2.0**25, 1e9, -1e9, 2.0**40]
+    rows = [(k, [float(k % 7), big[k % 4] if k % 3 == 0 else 1.0, -0.5]) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 20 == 0, 5).collect()))
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    ends = np.iinfo(np.int64)
+    want = []
+    for i in range(0, 60, 20):
+        best = sorted((-min(max(sum(a * b for a, b in zip(whole[i], w, strict=True)), ends.min), ends.max), j) for j, w in whole.items() if j != i)[:5]
+        want += [(i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+def test_search_without_shard_bounds_gives_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=4)]) for k in range(500)], "vec_id long, embedding array<double>")
+    first = topk_search.top_k(df, F.col("vec_id") % 20 == 0, 5).collect()
+    monkeypatch.setattr(topk_search, "MOST_BOUNDS", 0)
+    assert sorted(first) == sorted(topk_search.top_k(df, F.col("vec_id") % 20 == 0, 5).collect())
+
+
 def test_shard_skips_blocks_and_stays_exact():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 16)) * 300
