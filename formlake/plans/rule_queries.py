@@ -169,7 +169,7 @@ def r07_name(spark: SparkSession, sf: str) -> DataFrame:
 def r08_guardrail(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("original"))
     changed = F.when(F.col("turn") % 2 == 0, F.regexp_replace("original", "the", "tha")).otherwise(F.reverse("original"))
-    return rows.withColumn("proposed", changed).withColumn("accepted", guardrail.accepted(F.col("original"), F.col("proposed"))).select("conv_id", "turn", "accepted")
+    return rows.withColumn("proposed", changed).select("conv_id", "turn", guardrail.corrected(F.col("original"), F.col("proposed")).alias("value"))
 
 
 @query("""select doc_id, x1, y1, x2, y2 from (select p_partkey as doc_id, trunc(p_size / 64.0 * 1000)::int as x1, trunc(p_size / 80.0 * 700)::int as y1, least(1000, round_even(p_retailprice / 2, 0)::int) as x2, least(700, round_even(p_retailprice / 3, 0)::int) as y2 from part)""")

@@ -47,11 +47,29 @@ def test_rules_are_idempotent(spark, rule, given):
     assert values(spark, f, once) == once
 
 
-def test_guardrail():
-    assert guardrail.acceptable("das ist ein tset", "das ist ein test")
-    assert not guardrail.acceptable("wirmeine das so", "wir meine das so")
-    assert guardrail.acceptable("wirmeine das so wie du", "wir meine das so wie du", word_splits=True)
-    assert not guardrail.acceptable("a b c", "x y z q r s t") and not guardrail.acceptable("a", "")
+def test_guardrail(spark):
+    cases = [
+        ("das ist ein tset", "das ist ein test", {}, True),
+        ("gutn tag", "guten tag", {}, True),
+        ("Gutn tgg", "guten Tag", {}, True),
+        ("wirmeine das so", "wir meine das so", {}, False),
+        ("wirmeine das so wie du", "wir meine das so wie du", {"word_splits": True}, True),
+        ("a b c d", "a b XXXXXXXX c d", {}, True),
+        ("a b c", "x y z q r s t", {}, False),
+        ("eins zwei drei", "einen zwein dreien", {}, False),
+        ("das haus", "das pferd", {}, False),
+        ("a", "", {}, False),
+        ("a", None, {}, False),
+        (None, "neu", {}, True),
+        ("", " ", {}, False),
+    ]
+    for limits in ({}, {"word_splits": True}):
+        own = [(k, a, b) for k, (a, b, l, _) in enumerate(cases) if l == limits]
+        rows = spark.createDataFrame(own, "k int, a string, b string")
+        for r in rows.select("*", guardrail.corrected(F.col("a"), F.col("b"), **limits).alias("value")).collect():
+            assert r["value"] == (r["b"] if cases[r["k"]][3] else r["a"] or ""), cases[r["k"]]
+    rows = spark.createDataFrame([("gutn tag", " \"'guten tag.'\" "), ("gutn tag.", "guten tag.")], "a string, b string")
+    assert [r[0] for r in rows.select(guardrail.corrected(F.col("a"), F.col("b"))).collect()] == ["guten tag", "guten tag."]
 
 
 def test_text_functions(spark):
