@@ -143,6 +143,22 @@ def label_specs(spark: SparkSession, labels: Mapping[str, Sequence[str]]) -> Dat
     return spark.createDataFrame(rows, "label string, prefix_re string")
 
 
+def split_at_labels(parts: DataFrame, labels: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Segments that open with a label, cut before each further printed name that a colon follows; ``ord`` counts anew from 0.
+
+    Pieces keep their segment's box and cell. A segment that opens with
+    something else stays whole, so that a name inside a value is no label;
+    a null or blank text stays as it is.
+    """
+    names = "|".join(re.escape(v) for v in sorted({v for variants in labels.values() for v in variants}, key=lambda v: (-len(v), v)))
+    opens = F.rlike(F.col("text"), F.lit(rf"(?iu)^\s*(?:{names})(?!\p{{L}})"))
+    cut = F.filter(F.split("text", rf"(?iu)(?<=\s)(?=(?:{names})\s*:)"), lambda x: F.trim(x) != "")
+    pieces = F.when(opens, F.transform(cut, lambda x: F.trim(x))).otherwise(F.array("text"))
+    each = parts.select("*", F.posexplode(pieces).alias("_k", "_piece")).withColumn("text", F.col("_piece"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "_k")) - 1
+    return each.withColumn("ord", number).select(*parts.columns)
+
+
 def field_values(parts: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, field, value, strategy): the text behind the label, else the next cell of its row or the one below, else the box to its right, else the next segment.
 

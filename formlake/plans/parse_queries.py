@@ -37,6 +37,18 @@ def p03_parse_fields(spark: SparkSession, sf: str) -> DataFrame:
     return markup.field_values(markup.segments(forms(spark, sf)), labels).select("doc_id", "field", "value", "strategy")
 
 
+@query("""select c_custkey as doc_id, f.field, case when c_custkey % 2 = 0 then case f.field when 'name' then c_name else c_mktsegment end when f.field = 'segment' then c_mktsegment || ' - Name ' || c_name else '' end as value,
+case when c_custkey % 2 = 0 or f.field = 'segment' then 'inline' end as strategy from customer, (values ('name'), ('segment')) f(field)""")
+def p06_labels_in_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Forms with two labels in one line, or with a label's name inside a value."""
+    two = F.format_string("Name: %s  Segment: %s", "c_name", "c_mktsegment")
+    inside = F.format_string("Segment: %s - Name %s", "c_mktsegment", "c_name")
+    pages = load(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 2 == 0, two).otherwise(inside).alias("raw"))
+    names = {"name": ["Name"], "segment": ["Segment"]}
+    parts = markup.split_at_labels(markup.segments(pages), names)
+    return markup.field_values(parts, markup.label_specs(spark, names)).select("doc_id", "field", "value", "strategy")
+
+
 @query("select o_orderkey as doc_id, lpad(cast(o_orderkey as varchar), greatest(7, length(cast(o_orderkey as varchar)))::int, '0') as number, o_orderstatus as status, 2 as n_objects from orders")
 def p04_json_fewshot(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.concat(F.lit('Example {"number": "1", "status": "?"} and now {"number": '), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"), F.lit(', "status": "'), F.col("o_orderstatus"), F.lit('"} done'))

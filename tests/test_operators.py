@@ -219,3 +219,18 @@ def test_texts_as_people_write_them(spark):
     assert shares == [0.75, 0.0, 0.0]
     ends = spark.createDataFrame([("a", "a."), ("a?", "a!"), (None, "b ?"), ("a", "")], "o string, c string")
     assert [r[0] for r in ends.select(text.without_added_end(F.col("o"), F.col("c"))).collect()] == ["a", "a!", "b", ""]
+
+
+def test_labels_inside_a_line(spark):
+    names = {"name": ["Name", "Name of child"], "city": ["City"], "street": ["Street"]}
+    pages = [(1, "Name of child: A b City: B\nCity: later"), (2, "Name: City: B"), (3, "Old City: x"), (4, "  name : Street Citymap City : C\nplain"), (5, None), (6, "")]
+    parts = markup.split_at_labels(markup.segments(spark.createDataFrame(pages, "doc_id long, raw string")), names)
+    assert sorted((r["doc_id"], r["ord"], r["text"]) for r in parts.collect()) == [
+        (1, 0, "Name of child: A b"), (1, 1, "City: B"), (1, 2, "City: later"),
+        (2, 0, "Name:"), (2, 1, "City: B"),
+        (3, 0, "Old City: x"),
+        (4, 0, "name : Street Citymap"), (4, 1, "City : C"), (4, 2, "plain"),
+    ]
+    got = {(r["doc_id"], r["field"]): r["value"] for r in markup.field_values(parts, markup.label_specs(spark, names)).collect()}
+    assert got[1, "name"] == "A b" and got[1, "city"] == "B" and got[2, "name"] == "" and got[2, "city"] == "B"
+    assert got[3, "city"] == "" and got[4, "name"] == "Street Citymap" and got[4, "city"] == "C" and got[4, "street"] == ""
