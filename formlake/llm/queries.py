@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.llm import chat_format, line_dedup, mixing, packing, quality_classifier, quality_rules, rans, simhash_dedup, topk_search, url_filter
+from formlake.llm import chat_format, filter_audit, line_dedup, mixing, packing, quality_classifier, quality_rules, rans, simhash_dedup, token_counts, topk_search, url_filter, whitening
 from formlake.llm.work import materialise
 
 
@@ -88,6 +88,19 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), limit=2048)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64, offset=1_000_000)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")} | {"llm_rule_ablations": rule_ablations}
 
@@ -130,6 +143,19 @@ select conv_id, count(*) as n_turns, sha256(string_agg(r || chr(10) || x || chr(
 sha256(coalesce(string_agg(x, '' order by turn, r, x) filter (r = 'assistant'), '')) as loss_sha256, sum(size)::bigint as formatted_chars from n group by 1"""
 
 
+_OP11 = r"""with m as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+f as (select doc_id, part, (case when len(ws) < 200 then 1 else 0 end + case when 100 * len(list_distinct(ws)) < 50 * len(ws) then 2 else 0 end + case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) then 4 else 0 end
++ case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end + case when coalesce(min(doc_id) over (partition by t) < doc_id, false) then 16 else 0 end)::int as failed from m),
+l as (select doc_id, coalesce(max((quality = 1)::int), 0) as good, coalesce(max((toxic = 1)::int), 0) as toxic from labels group by 1),
+p as (select part, failed, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, count(*) as n from f left join l using (doc_id) group by all),
+c as (select chr((65 + i)::int) as name, (1 << i)::int as bit from range(5) x(i)),
+o as (select a.name || b.name || d.name || e.name || g.name as filter_order, [a.bit, b.bit, d.bit, e.bit, g.bit] as bits from c a, c b, c d, c e, c g where a.bit | b.bit | d.bit | e.bit | g.bit = 31),
+w as (select part, filter_order, step::int as step, bits[step] as bit, failed, good, toxic, n, coalesce(list_position(list_transform(bits, lambda x: failed & x <> 0), true), 6) as first from p, o, range(1, 6) s(step)),
+r as (select part, filter_order, step, bit, coalesce(sum(n) filter (first > step), 0)::bigint as kept, coalesce(sum(n) filter (first = step), 0)::bigint as removed, coalesce(sum(n) filter (first < step and failed & bit <> 0), 0)::bigint as redundant,
+coalesce(sum(n) filter (failed = bit), 0)::bigint as unique_fails, coalesce(sum(n) filter (first = step and good = 1), 0)::bigint as good_lost, coalesce(sum(n) filter (first = step and toxic = 1), 0)::bigint as toxic_lost from w group by 1, 2, 3, 4)
+select * exclude (bit), (sum(removed) over (partition by part, bit))::bigint as shapley from r"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL twins; the other operators' hashes, models, codes and searches for components are beyond SQL."""
-    return {"op3_topk_search": _OP3, "op4_quality_rules": _OP4, "llm_rule_ablations": _ABLATIONS, "op7_chat_format": _OP7}
+    return {"op3_topk_search": _OP3, "op4_quality_rules": _OP4, "llm_rule_ablations": _ABLATIONS, "op7_chat_format": _OP7, "op11_filter_audit": _OP11}
