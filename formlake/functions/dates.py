@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from formlake.functions.text import digit_map
+from formlake.functions.text import digit_map, let
 
 # German months in order.
 MONTHS = ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
 
-NUMERIC = r"^([0-9]{1,2})[.\-/]([0-9]{1,2})[.\-/]([0-9]{2,4})$"
+#: Most and least digits of day, month and year written in numbers.
+LENGTHS = ((1, 2), (1, 2), (2, 4))
 
 
 def real_day(year: Column, month: Column, day: Column) -> Column:
@@ -21,13 +22,16 @@ def real_day(year: Column, month: Column, day: Column) -> Column:
     return F.coalesce(month.between(1, 12) & (day >= 1) & (day <= last) & (y >= 1), F.lit(False))
 
 
-def _group(c: Column, k: int) -> Column:
-    return F.regexp_extract(c, NUMERIC, k).try_cast("int")
+def numeric_date(c: Column) -> Column:
+    """True where the text is day, month and year of a real day, with a dot, slash or hyphen between each two."""
 
+    def of(parts: Column) -> Column:
+        each = [F.get(parts, k) for k in range(3)]
+        digits = [F.length(p).between(*n) & (F.translate(p, "0123456789", "") == "") for p, n in zip(each, LENGTHS, strict=True)]
+        day, month, year = (p.try_cast("int") for p in each)
+        return (F.size(parts) == 3) & digits[0] & digits[1] & digits[2] & real_day(year, month, day)
 
-def numeric_date(c: Column) -> Column:
-    """True where the text is day, month and year of a real day."""
-    return c.rlike(NUMERIC) & real_day(_group(c, 3), _group(c, 2), _group(c, 1))
+    return c.isNotNull() & F.coalesce(let(F.split(F.translate(c, "/-", ".."), r"\.", -1), of), F.lit(False))
 
 
 def corrected_numeric_date(c: Column) -> Column:
@@ -45,19 +49,45 @@ def nearest_month(word: Column, ratio: float = 0.34) -> Column:
     return F.when(plain == "maerz", MONTHS[2]).when(best["d"] <= F.lit(ratio) * F.greatest(F.length(plain), F.lit(1)), best["m"])
 
 
-# Fixed format: day, month word and year of two to four signs, letters in place of digits allowed, blanks between them optional.
-SPELLED = r"^([0-9A-Za-zÄÖÜäöüß]{1,2})\.?\s*([A-Za-zÄÖÜäöüß]{3,})\s*([0-9A-Za-zÄÖÜäöüß]{2,4})$"
+_LETTERS = "A-Za-zÄÖÜäöüß"
+
+
+def _spelled_parts(c: Column) -> Column:
+    """Day, month word and year of a text as struct<day, word, year>, null where it has no such parts.
+
+    The day has two signs or one, a dot and blanks behind it or not; the year
+    has two to four signs, letters in place of digits allowed. Longer days and
+    month words win over shorter ones.
+    """
+
+    def choice(day: int, year: int) -> Column:
+        rest = F.ltrim(F.regexp_replace(F.substr(c, F.lit(day + 1)), r"^\.", ""), F.lit(" \t\n\r\x0b\x0c"))
+        return F.struct(
+            F.substring(c, 1, day).alias("day"),
+            F.rtrim(F.left(rest, F.greatest(F.length(rest) - year, F.lit(0))), F.lit(" \t\n\r\x0b\x0c")).alias("word"),
+            F.right(rest, F.lit(year)).alias("year"),
+        )
+
+    signs = rf"^[0-9{_LETTERS}]+$"
+    fits = lambda p: p["day"].rlike(signs) & p["year"].rlike(signs) & p["word"].rlike(rf"^[{_LETTERS}]{{3,}}$")
+    return F.get(F.filter(F.array(*[choice(d, y) for d in (2, 1) for y in (2, 3, 4)]), fits), 0)
 
 
 def corrected_spelled_date(c: Column, ratio: float = 0.34) -> Column:
     """``D. Month YYYY`` where day, month word and year become a real day; null where the text is not so written."""
-    trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
-    part = lambda k: F.regexp_extract(trimmed, SPELLED, k)
-    day, year = digit_map(part(1)), digit_map(part(3))
-    month = nearest_month(part(2), ratio)
-    number = F.array_position(F.array(*map(F.lit, MONTHS)), month).cast("int")
-    fine = trimmed.rlike(SPELLED) & month.isNotNull() & real_day(year.try_cast("int"), number, day.try_cast("int"))
-    return F.when(fine, F.concat(day, F.lit(". "), month, F.lit(" "), year))
+
+    def of(p: Column) -> Column:
+        day, year = digit_map(p["day"]), digit_map(p["year"])
+
+        def told(month: Column) -> Column:
+            number = F.array_position(F.array(*map(F.lit, MONTHS)), month).cast("int")
+            fine = month.isNotNull() & real_day(year.try_cast("int"), number, day.try_cast("int"))
+            return F.when(fine, F.concat(day, F.lit(". "), month, F.lit(" "), year))
+
+        return let(nearest_month(p["word"], ratio), told)
+
+    trimmed = F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
+    return F.when(c.rlike(rf"[{_LETTERS}]{{3}}"), let(trimmed, lambda t: let(_spelled_parts(t), of)))
 
 
 def age_reason(day: Column, today: Column) -> Column:

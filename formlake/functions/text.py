@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,24 +42,52 @@ def clean_name(c: Column) -> Column:
     return capitalised(F.trim(F.regexp_replace(kept, r"\s+", " ")))
 
 
-# The sign with which a recogniser ends its output, and the wrappers of formulas.
+# The sign with which a recogniser ends its output; signs that open and close a formula.
 STOP_SIGN = "<｜end▁of▁sentence｜>"
-FORMULAS = r"(?is)\\\[\s*(.*?)\s*\\\]|\\\(\s*(.*?)\s*\\\)|\$\$\s*(.*?)\s*\$\$|\$[^\S\n]*([^$\n]*?)[^\S\n]*\$|<math[^>]*>\s*(.*?)\s*</math>"
-STRAY_FORMULA = r"(?i)\\[\[\]()]|</?math[^>]*>"
-# Signs around a value that are not part of it, and ticked and empty boxes.
-LEADING_SIGNS, TRAILING_SIGNS = r"^[\s:.\-–—|_*]+", r"[\s:|_*]+$"
-BOXES_ONLY = "^(?:\\s|\\[\\s*[xX✕✖✗✘✓✔☒×⨯]?\\s*\\]|[☐☑☒□❑])+$"
+FORMULA_PAIRS = (("\\[", "\\]"), ("\\(", "\\)"), ("$$", "$$"), ("<math>", "</math>"))
+# Signs in front of and behind a value that are not part of it; signs that tick a box, boxes with and without a tick.
+LEADING_SIGNS, TRAILING_SIGNS = ":.-–—|_*", ":|_*"
+TICKS = "xX✕✖✗✘✓✔☒×⨯"
+TICKED_BOXES, EMPTY_BOXES = "☑☒", "☐□❑"
+#: What counts as blank around a value.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Marks around struck-out text inside a segment: shift out, shift in.
+STRUCK, UNSTRUCK = "\x0e", "\x0f"
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` reckoned once."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
 def _stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
+
 
+def _sign(sign: str) -> str:
+    """A pattern for one sign; a tag may hold attributes."""
+    return sign[:-1] + "[^>]*>" if sign.startswith("<") else "".join("\\" + x for x in sign)
 
-def without_formulas(c: Column, depth: int = 3) -> Column:
-    """Formulas without their wrappers, a blank on each side; nested ones up to ``depth``, wrappers without a partner dropped."""
-    for _ in range(depth):
-        c = F.regexp_replace(c, FORMULAS, " $1$2$3$4$5 ")
-    return F.regexp_replace(c, STRAY_FORMULA, " ")
+
+def formula_pattern() -> str:
+    """A pair with what is between, shortest first; a single dollar closes in its line."""
+    each = [rf"{_sign(o)}\s*(.*?)\s*{_sign(c)}" for o, c in FORMULA_PAIRS]
+    each.insert(3, r"\$[^\S\n]*([^$\n]*?)[^\S\n]*\$")
+    return "(?is)" + "|".join(each)
+
+
+def without_formulas(c: Column) -> Column:
+    """Formulas without their wrappers, a blank on each side, nested to any depth; then wrappers without a partner go, but a single dollar stays.
+
+    A round takes away the outermost pairs; there are as many rounds as a text
+    has opening signs, so none is left.
+    """
+    opening = "(?i)" + "|".join([*(_sign(o) for o, _ in FORMULA_PAIRS), r"\$"])
+    stray = "(?i)" + "|".join(_sign(x) for pair in FORMULA_PAIRS if "$" not in pair[0] for x in pair)
+    once = lambda x, _: F.regexp_replace(x, formula_pattern(), " $1$2$3$4$5 ")
+    rounds = F.regexp_count(c, F.lit(opening))
+    out = F.when(rounds > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), c, once)).otherwise(c)
+    return F.regexp_replace(out, stray, " ")
 
 
 def clean_text(c: Column) -> Column:
@@ -66,14 +96,27 @@ def clean_text(c: Column) -> Column:
     Single underscores, backticks and line ends stay; runs of blanks, tabs and no-break blanks become one blank.
     """
     out = _stripped(without_formulas(F.replace(c, F.lit(STOP_SIGN), F.lit(" "))))
-    out = F.regexp_replace(F.regexp_replace(out, r"^#+\s*", ""), r"\*{1,3}|_{2,}", "")
-    return _stripped(F.regexp_replace(out, r"[ \t ]+", " "))
+    heading = F.when(F.startswith(out, F.lit("#")), F.ltrim(F.ltrim(out, F.lit("#")), F.lit(BLANKS))).otherwise(out)
+    plain = F.regexp_replace(F.replace(heading, F.lit("*"), F.lit("")), "__+", "")
+    return _stripped(F.regexp_replace(plain, "[ \t\u00a0]+", " "))
+
+
+def with_struck_text(c: Column) -> Column:
+    """Text without the marks of what is struck out, which stays: the form in which labels are sought."""
+    return F.translate(c, STRUCK + UNSTRUCK, "")
+
+
+def without_struck_text(c: Column) -> Column:
+    """What is struck out goes, unless nothing else is left: then it is what the writer left standing."""
+    left = F.regexp_replace(c, f"{STRUCK}[^{UNSTRUCK}]*{UNSTRUCK}", " ")
+    return F.when(F.contains(c, F.lit(STRUCK)) & (F.btrim(left, F.lit(" \t:.-|*")) != ""), left).otherwise(with_struck_text(c))
 
 
 def clean_value(c: Column) -> Column:
-    """A value without the signs around it; empty where only ticked or empty boxes are left."""
-    out = F.regexp_replace(F.regexp_replace(_stripped(c), LEADING_SIGNS, ""), TRAILING_SIGNS, "")
-    return F.when(out.rlike(BOXES_ONLY), "").otherwise(_stripped(out))
+    """A value without what is struck out and the signs around it; empty where only ticked or empty boxes are left."""
+    kept = F.rtrim(F.ltrim(without_struck_text(c), F.lit(BLANKS + LEADING_SIGNS)), F.lit(BLANKS + TRAILING_SIGNS))
+    beside_boxes = F.translate(F.regexp_replace(kept, rf"\[\s*[{TICKS}]?\s*\]", ""), TICKED_BOXES + EMPTY_BOXES + BLANKS, "")
+    return F.when(beside_boxes == "", "").otherwise(_stripped(kept))
 
 
 def without_added_end(original: Column, corrected: Column) -> Column:
