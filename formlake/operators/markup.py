@@ -16,16 +16,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formlake.functions import json_fields
+from formlake.functions.text import STRUCK, UNSTRUCK
 
 SEGMENTS = "doc_id long, ord int, text string, x0 int, y0 int, x1 int, y1 int, tbl int, row int, col int, source string"
 _MOST_SPAN = 12
 _BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section"}
-_GROUNDED = re.compile(r"<\|ref\|>(.*?)<\|/ref\|><\|det\|>(.*?)<\|/det\|>([^<]*)", re.S)
+_GROUNDED = re.compile(r"<\|ref\|>(.*?)<\|/ref\|>\s*<\|det\|>(.*?)<\|/det\|>(.*?)(?=<\|ref\|>|\Z)", re.S)
+_BOXES = re.compile(r"\[([^\[\]]*)\]")
 _RULE_LINE = re.compile(r"^[\s|:\-=]+$")
 
 
 class _Page(HTMLParser):
-    """Collects (text, box, table, row, column); a cell spans at most 12 columns and rows, and is emitted once."""
+    """Collects (text, box, table, row, column); a cell spans at most 12 columns and rows, and is emitted once, at its first column.
+
+    Struck-out text stays, between ``STRUCK`` and ``UNSTRUCK``; so does an empty cell. The block that holds a page's own header is passed over.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -36,7 +41,7 @@ class _Page(HTMLParser):
         self.table, self.row, self.col = -1, -1, -1
         self.cell: tuple[int, int] | None = None
         self.taken: set[tuple[int, int]] = set()
-        self.struck: list[str] | None = None
+        self.header = 0
 
     def flush(self) -> None:
         line = " ".join("".join(self.words).split())
@@ -47,7 +52,12 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         own = dict(attrs)
-        if tag in ("script", "style"):
+        if self.header:
+            self.header += tag == "div"
+        elif tag == "div" and (own.get("data-label") or "").lower() == "page-header":
+            self.flush()
+            self.header = 1
+        elif tag in ("script", "style"):
             self.skip += 1
         elif tag == "table":
             self.flush()
@@ -60,7 +70,7 @@ class _Page(HTMLParser):
                 self.col += 1
             wide, high = (min(_MOST_SPAN, max(1, int(own.get(k) or 1))) if str(own.get(k) or 1).isdigit() else 1 for k in ("colspan", "rowspan"))
             self.taken |= {(self.row + r, self.col + c) for r in range(high) for c in range(wide)}
-            self.cell = (self.row, self.col + wide - 1)
+            self.cell = (self.row, self.col)
             self.col += wide
         elif tag == "br":
             if self.cell:
@@ -71,39 +81,65 @@ class _Page(HTMLParser):
             kind = own.get("type", "text")
             self.words.append((" [x] " if "checked" in own else " [ ] ") if kind in ("checkbox", "radio") else f" {own.get('value') or ''} ")
         elif tag == "del":
-            self.struck = []
+            self.words.append(STRUCK)
         elif tag in _BLOCKS:
             self.flush()
-            found = re.findall(r"\d+", own.get("data-bbox") or "")
-            self.box = tuple(map(int, found[:4])) if len(found) >= 4 else self.box if tag != "div" else None
+            self.box = _box((own.get("data-bbox") or "").split()) if "data-bbox" in own else self.box if tag != "div" else None
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
+        if self.header:
+            self.header -= tag == "div"
+        elif tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
-        elif tag == "del" and self.struck is not None:
-            if not "".join(self.words).strip(" \t:.-|*"):
-                self.words += self.struck
-            self.struck = None
+        elif tag == "del":
+            self.words.append(UNSTRUCK)
         elif tag in ("td", "th"):
             self.flush()
+            if self.cell and (not self.out or self.out[-1][2:] != (self.table, *self.cell)):
+                self.out.append(("", self.box, self.table, *self.cell))
             self.cell = None
         elif tag in _BLOCKS or tag == "table":
             self.flush()
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
-            (self.words if self.struck is None else self.struck).append(data)
+        if not (self.skip or self.header):
+            self.words.append(data.replace(STRUCK, "").replace(UNSTRUCK, ""))
+
+
+def _box(parts: Sequence[str]) -> tuple | None:
+    """Four numbers, fractions cut off; anything else is no box."""
+    try:
+        found = tuple(int(float(x)) for x in parts)
+    except (ValueError, OverflowError):
+        return None
+    return found if len(found) == 4 else None
+
+
+def _resolved(text: str) -> str:
+    """Struck-out text goes, unless nothing else is left."""
+    if STRUCK not in text:
+        return text
+    left = " ".join(re.sub(f"{STRUCK}[^{UNSTRUCK}]*{UNSTRUCK}?", " ", text).split())
+    return left if left.strip(" \t:.-|*") else text.replace(STRUCK, "").replace(UNSTRUCK, "").strip()
 
 
-def page_segments(raw: str) -> list[tuple]:
-    """(text, box, table, row, column, source) of one page's text, in reading order."""
+def page_segments(raw: str, whole: bool = False) -> list[tuple]:
+    """(text, box, table, row, column, source) of one page's text, in reading order; ``whole``: with empty cells, and what is struck out between its marks."""
+    if not whole:
+        resolved = ((_resolved(text), *rest) for text, *rest in page_segments(raw, True))
+        return [x for x in resolved if x[0]]
     if "<|ref|>" in raw:
         out = []
+        tables = 0
         for _, where, content in _GROUNDED.findall(raw):
-            numbers = list(map(int, re.findall(r"\d+", where)))
-            boxes = [tuple(numbers[k : k + 4]) for k in range(0, len(numbers) - 3, 4)]
+            boxes = [b for b in (_box(x.split(",")) for x in _BOXES.findall(where)) if b]
             lines = [x.strip() for x in content.split("\n") if x.strip()]
             union = (min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)) if boxes else None
+            if "<table" in content.lower():
+                cells = [x for x in page_segments(content, True) if x[2] is not None]
+                out += [(text, union, tables + table, row, col, "grounded") for text, _, table, row, col, _ in cells]
+                tables += 1 + max((x[2] for x in cells), default=-1)
+                continue
             each = boxes if len(boxes) == len(lines) else [union] * len(lines)
             out += [(line, box, None, None, None, "grounded") for line, box in zip(lines, each, strict=True)]
         return out
@@ -117,7 +153,7 @@ def page_segments(raw: str) -> list[tuple]:
     for line in raw.split("\n"):
         if line.strip().startswith("|"):
             if not _RULE_LINE.match(line):
-                out += [(c.strip(), None, 0, row, k, "plain") for k, c in enumerate(line.strip().strip("|").split("|")) if c.strip()]
+                out += [(c.strip(), None, 0, row, k, "plain") for k, c in enumerate(line.strip().strip("|").split("|"))]
                 row += 1
         elif line.strip() and not _RULE_LINE.match(line):
             out.append((line.strip(), None, None, None, None, "plain"))
