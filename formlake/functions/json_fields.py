@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from formlake.functions.text import let
+
 
 def outermost_object(c: Column) -> Column:
     """From the first opening to the last closing brace, '' without one."""
@@ -24,3 +28,47 @@ def fields_of(c: Column) -> Column:
 def extra_keys(keys: Column, known: list[str]) -> Column:
     """Keys beyond the known ones, in order."""
     return F.array_sort(F.array_except(keys, F.array(*map(F.lit, known))))
+
+
+def _located(key: str) -> tuple[str, str]:
+    """Patterns for a key with its value, and for the key alone: a string with escapes, an array, or anything up to a comma, brace or line end."""
+    head = rf'"{re.escape(key)}"\s*:\s*'
+    string = r'"[^"\\]*+(?:\\[^\n][^"\\]*+)*+"'
+    return rf"{head}(?:{string}|\[[^\]]*\]|[^,}}\n]*)", f"^{head}"
+
+
+def value_span(c: Column, key: str) -> Column:
+    """Where a key's value stands in a raw text, well-formed JSON or not: struct<kind, s, e, outer_s, outer_e, raw>, null without the key.
+
+    Offsets count characters from 0, the end excluded. Of repeated keys the last
+    counts, as for a JSON reader. ``kind`` is string, array or bare; a string's outer
+    span includes its quotes, a bare value has no blanks around it. The scan
+    keeps offsets by what it leaves: behind the last match stands the last
+    piece of the text split at all of them.
+    """
+    whole, head = _located(key)
+    found = F.try_element_at(F.regexp_extract_all(c, F.lit(whole), 0), F.lit(-1))
+    behind = F.element_at(F.split(c, whole, -1), -1)
+
+    def of(match: Column) -> Column:
+        body = F.regexp_replace(match, head, "")
+        end = F.length(c) - F.length(behind)
+        start = end - F.length(body)
+        wrapped = lambda a, b: F.startswith(body, F.lit(a)) & F.endswith(body, F.lit(b)) & (F.length(body) >= 2)
+        bare = F.regexp_replace(body, r"\s+\z", "")
+        first = start + F.length(bare) - F.length(F.regexp_replace(bare, r"^\s+", ""))
+
+        def span(kind: str, s: Column, e: Column, outer: int = 0) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), (s - outer).alias("outer_s"), (e + outer).alias("outer_e"), F.substring(c, s + 1, e - s).alias("raw"))
+
+        told = F.when(wrapped('"', '"'), span("string", start + 1, end - 1, 1)).when(wrapped("[", "]"), span("array", start, end))
+        return F.when(match.isNotNull(), told.otherwise(span("bare", first, start + F.length(bare))))
+
+    return let(found, of)
+
+
+def value_as_parsed(span: Column, separator: str = " ") -> Column:
+    """What a JSON reader makes of a span's text, an array's elements joined; null where it can't be read."""
+    string = F.from_json(F.concat(F.lit('{"v":"'), span["raw"], F.lit('"}')), "v string", {"mode": "PERMISSIVE"})["v"]
+    array = F.from_json(span["raw"], "array<string>")
+    return F.btrim(F.when(span["kind"] == "string", string).when(span["kind"] == "array", F.array_join(array, separator)).otherwise(span["raw"]))

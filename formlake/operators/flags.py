@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formlake.functions import json_fields
+from formlake.operators import ordered
+
 
 def first_reason(rows: DataFrame, value: Column, checks: Sequence[tuple[Column, str]]) -> DataFrame:
     """Rows with the reason of the first check that holds; empty values are never flagged."""
@@ -45,3 +48,31 @@ def span_confidence(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     t = tokens.withColumnRenamed("doc_id", "_doc")
     met = spans.join(t, (F.col("doc_id") == F.col("_doc")) & (F.col("ts") < F.col("e")) & (F.col("te") > F.col("s")), "left")
     return met.groupBy("doc_id", "field").agg(F.count("logp").alias("n_tokens"), F.exp(F.min("logp")).alias("conf_min"), F.exp(F.min_by("logp", "pos")).alias("conf_first"), F.exp(F.avg("logp")).alias("conf_mean"))
+
+
+def field_confidences(pages: DataFrame, tokens: DataFrame, values: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(doc_id, field, span, n_tokens, conf_min, conf_first, conf_mean, span_matches_value) for each of ``fields`` of every page.
+
+    ``pages``: (doc_id, raw), ids unique; ``tokens``: (doc_id, pos, text, logp); ``values``:
+    (doc_id, field, value), what was stored. A field's tokens are those that its value's
+    span in the raw text touches; an empty value is scored by its quotes. ``span`` is the value's kind,
+    ``missing`` without the key, and ``decode_mismatch`` for all fields of a page whose
+    tokens don't add up to its text; these have no tokens and null scores. A null raw text is empty.
+    """
+    placed = ordered.token_spans(tokens.select("doc_id", "pos", F.coalesce("text", F.lit("")).alias("text"), "logp"), ["doc_id"], "pos", "text")
+    told = tokens.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "").alias("told"))
+    raw = pages.select("doc_id", F.coalesce("raw", F.lit("")).alias("raw")).join(told, "doc_id", "left")
+    whole = F.col("raw") == F.coalesce("told", F.lit(""))
+    every = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), json_fields.value_span(F.col("raw"), f).alias("v")) for f in fields])).alias("x")
+    spans = raw.select("doc_id", whole.alias("whole"), every).select("doc_id", "whole", "x.field", "x.v")
+    empty = F.col("v.e") <= F.col("v.s")
+    spans = spans.select(
+        "doc_id", "field",
+        F.when(~F.col("whole"), "decode_mismatch").when(F.col("v").isNull(), "missing").otherwise(F.col("v.kind")).alias("span"),
+        F.when(F.col("whole"), F.when(empty, F.col("v.outer_s")).otherwise(F.col("v.s"))).alias("s"),
+        F.when(F.col("whole"), F.when(empty, F.col("v.outer_e")).otherwise(F.col("v.e"))).alias("e"),
+        json_fields.value_as_parsed(F.col("v")).alias("parsed"),
+    )
+    scored = span_confidence(spans, placed.select("doc_id", "pos", F.col("s").alias("ts"), F.col("e").alias("te"), "logp"))
+    met = spans.join(scored, ["doc_id", "field"]).join(values.select("doc_id", "field", "value"), ["doc_id", "field"], "left")
+    return met.select("doc_id", "field", "span", "n_tokens", "conf_min", "conf_first", "conf_mean", F.coalesce((F.col("n_tokens") > 0) & (F.col("parsed") == F.col("value")), F.lit(False)).alias("span_matches_value"))

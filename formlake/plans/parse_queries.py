@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlake.functions import json_fields, text
-from formlake.operators import markup
+from formlake.operators import flags, markup
 from formlake.plans.registry import query
 from formlake.session import load
 
@@ -64,3 +64,49 @@ def u01_udtf_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query("select event_id, '{\"k\": \"' || json_extract_string(props, '$.k') || '\"}' as quoted from events")
 def p05_quote_props(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").select("event_id", json_fields.quote_bare(F.col("props")).alias("quoted"))
+
+
+def _answers(orders: DataFrame) -> DataFrame:
+    """(k, raw, note, said): an order as a model writes it down: a key twice, escapes, an array, bare numbers, an empty value, or no closing quote."""
+    k, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    number = F.lpad(k.cast("string"), 7, "0")
+    usual = F.format_string('{"number": %s , "status": "first", "status":"%s", "note": "say \\"%s\\"\\u00e9", "lines": ["a", "%s"], "empty": ""}', number, status, priority, priority)
+    broken = F.format_string('text {"status" : "%s", "number":%s\n"note": "no end, %s', status, number, priority)
+    return orders.select(k.alias("doc_id"), F.when(k % 3 == 0, broken).otherwise(usual).alias("raw"), status.alias("status"), priority.alias("priority"), number.alias("number"))
+
+
+_FIELDS = ("number", "status", "note", "lines", "empty", "absent")
+_ANSWERS = r"""with a as (select o_orderkey as doc_id, o_orderkey % 3 = 0 as broken, o_orderstatus as st, o_orderpriority as pr, lpad(o_orderkey::varchar, greatest(7, length(o_orderkey::varchar))::int, '0') as nr from orders),
+r as (select *, case when broken then 'text {"status" : "' || st || '", "number":' || nr || chr(10) || '"note": "no end, ' || pr else '{"number": ' || nr || ' , "status": "first", "status":"' || st || '", "note": "say \"' || pr || '\"\u00e9", "lines": ["a", "' || pr || '"], "empty": ""}' end as raw from a),
+f as (select *, case when broken then case field when 'number' then nr when 'status' then st when 'note' then '"no end' end else case field when 'number' then nr when 'status' then st when 'note' then 'say \"' || pr || '\"\u00e9' when 'lines' then '["a", "' || pr || '"]' when 'empty' then '' end end as piece,
+case when broken then case field when 'status' then 'string' when 'number' then 'bare' when 'note' then 'bare' end else case field when 'number' then 'bare' when 'lines' then 'array' when 'absent' then null else 'string' end end as kind,
+case when broken then case field when 'status' then '"status" : "' when 'number' then '"number":' when 'note' then '"note": ' end else case field when 'number' then '"number": ' when 'status' then '"status":"' when 'note' then '"note": "' when 'lines' then '"lines": ' when 'empty' then '"empty": "' end end as head,
+case field when 'number' then nr when 'status' then st when 'note' then case when broken then '"no end' else 'say "' || pr || '"é' end when 'lines' then 'a ' || pr when 'empty' then '' end as parsed
+from r, (values ('number'), ('status'), ('note'), ('lines'), ('empty'), ('absent')) x(field)),
+p as (select *, case when piece is not null then instr(raw, head || piece) - 1 + length(head) end as s from f)"""
+
+
+@query(f"select doc_id, field, kind, s::int as s, (s + length(piece))::int as e, (s - (kind = 'string')::int)::int as outer_s, piece as raw, case when piece is not null then parsed end as parsed from p where field <> 'absent' and piece is not null".replace("select doc_id", _ANSWERS + " select doc_id", 1))
+def p12_value_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Offsets of values in model answers, and what a reader makes of them."""
+    rows = _answers(load(spark, sf, "orders"))
+    each = rows.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), json_fields.value_span(F.col("raw"), f).alias("v")) for f in _FIELDS])).alias("x")).select("doc_id", "x.field", "x.v").filter("v is not null")
+    return each.select("doc_id", "field", "v.kind", "v.s", "v.e", "v.outer_s", "v.raw", json_fields.value_as_parsed(F.col("v")).alias("parsed"))
+
+
+@query(_ANSWERS + """, t as (select doc_id, i, i * 4 as ts, least(i * 4 + 4, length(raw)) as te, -(i % 7)::double / 8 as logp from r, range(0, 40) g(i) where i * 4 < length(raw)),
+b as (select *, case when doc_id % 10 <> 7 then case when piece = '' then s - 1 else s end end as bs, case when doc_id % 10 <> 7 then case when piece = '' then s + 1 else s + length(piece) end end as be from p)
+select b.doc_id, b.field, case when b.doc_id % 10 = 7 then 'decode_mismatch' when any_value(kind) is null then 'missing' else any_value(kind) end as span, count(logp) as n_tokens, round(exp(min(logp)), 6) as conf_min, round(exp(arg_min(logp, i)), 6) as conf_first, round(exp(avg(logp)), 6) as conf_mean,
+coalesce(count(logp) > 0 and any_value(piece) is not null and b.field <> 'lines', false) as span_matches_value from b left join t on t.doc_id = b.doc_id and ts < be and te > bs group by 1, 2""")
+def j08_field_confidences(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of values by the tokens that their spans touch; every tenth page's tokens don't add up to its text."""
+    rows = _answers(load(spark, sf, "orders"))
+    n = F.ceil(F.length("raw") / 4)
+    tokens = rows.select("doc_id", "raw", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("pos"))
+    piece = F.substring("raw", F.col("pos") * 4 + 1, F.lit(4))
+    tokens = tokens.select("doc_id", "pos", F.when((F.col("doc_id") % 10 == 7) & (F.col("pos") == 1), "?").otherwise(piece).alias("text"), (-(F.col("pos") % 7) / 8).alias("logp"))
+    note = F.when(F.col("doc_id") % 3 == 0, '"no end').otherwise(F.format_string('say "%s"é', "priority"))
+    stored = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in (("number", F.col("number")), ("status", F.col("status")), ("note", note), ("lines", F.lit("other")), ("empty", F.lit("")))])
+    values = rows.select("doc_id", F.inline(stored))
+    out = flags.field_confidences(rows.select("doc_id", "raw"), tokens, values, _FIELDS)
+    return out.select("doc_id", "field", "span", "n_tokens", *[F.round(c, 6).alias(c) for c in ("conf_min", "conf_first", "conf_mean")], "span_matches_value")
