@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formlake.operators import ordered
+from formlake.operators import ordered, segmentation
 from formlake.plans.registry import query
 from formlake.session import load
 
@@ -90,3 +90,23 @@ def f01_topk_matches(spark: SparkSession, sf: str) -> DataFrame:
     met = e.join(r, (F.col("label") == F.col("lb")) & (F.col("vec_id") < F.col("b")))
     d = F.sqrt(F.aggregate(F.zip_with("embedding", "eb", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda a, x: a + x))
     return met.select(F.col("vec_id").alias("a"), "b", F.round(d, 6).alias("d")).orderBy("d", "a", "b").limit(500)
+
+
+_HEIGHTS = "(select vec_id, list((floor(x * 1000) + 600)::double order by i) as p from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings) group by 1)"
+
+
+@query(f"""with recursive q as (select vec_id, p, list_filter(range(len(p)), lambda i: (i = 0 or p[i + 1] >= p[i]) and (i = len(p) - 1 or p[i + 1] > p[i + 2])) as peaks from {_HEIGHTS}),
+m as (select vec_id, p, peaks, 0 as k from q union all
+select vec_id, p, list_filter(peaks, lambda x: x <> case when p[peaks[w] + 1] < p[peaks[w + 1] + 1] then peaks[w] else peaks[w + 1] end) as peaks, k + 1 as k from (
+select *, list_position(r, list_max(r)) as w from (select *, list_transform(range(1, len(peaks)), lambda i: list_min(p[peaks[i] + 1:peaks[i + 1] + 1]) / least(p[peaks[i] + 1], p[peaks[i + 1] + 1])) as r from m)) where len(r) > 0 and list_max(r) > 0.5),
+f as (select vec_id, p, arg_max(peaks, k) as peaks from m group by 1, 2), d as (select *, list_median(list_transform(range(1, len(peaks)), lambda i: peaks[i + 1] - peaks[i])) as pitch from f),
+s as (select vec_id, p, case when len(peaks) <= 2 then peaks else list_reduce(list_transform(peaks, lambda x: [x]), lambda a, b: case when b[1] - a[-1] >= 0.6 * pitch then a || b when p[b[1] + 1] > p[a[-1] + 1] then a[1:len(a) - 1] || b else a end) end as peaks from d)
+select vec_id, x.peak::int as peak, (1 + coalesce(list_max(list_filter(range(peak), lambda i: p[i + 1] <= 0.7 * p[peak + 1])), -1))::int as top, coalesce(list_min(list_filter(range(peak + 1, len(p)), lambda i: p[i + 1] <= 0.7 * p[peak + 1])), len(p))::int as bottom from s, unnest(peaks) x(peak)""")
+def e10_merged_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Peaks of a profile after shallow valleys are merged and distances enforced, with the band around each."""
+    rows = load(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("double") + 600).alias("p"))
+    rows = rows.withColumn("i", ordered.local_maxima(F.col("p")))
+    rows = rows.withColumn("i", segmentation.merged_peaks(F.col("p"), F.col("i"), 0.5))
+    rows = rows.withColumn("i", segmentation.spaced_peaks(F.col("p"), F.col("i"), 0.6))
+    each = F.arrays_zip(F.col("i").alias("peak"), segmentation.peak_bands(F.col("p"), F.col("i"), 0.7).alias("band"))
+    return rows.select("vec_id", F.explode(each).alias("x")).select("vec_id", F.col("x.peak").alias("peak"), "x.band.top", "x.band.bottom")
