@@ -9,6 +9,7 @@ from formlake.functions import json_fields, text
 from formlake.operators import flags, markup
 from formlake.plans.registry import query
 from formlake.session import load
+from formlake.streaming import recognition
 
 
 @query()
@@ -110,3 +111,28 @@ def j08_field_confidences(spark: SparkSession, sf: str) -> DataFrame:
     values = rows.select("doc_id", F.inline(stored))
     out = flags.field_confidences(rows.select("doc_id", "raw"), tokens, values, _FIELDS)
     return out.select("doc_id", "field", "span", "n_tokens", *[F.round(c, 6).alias(c) for c in ("conf_min", "conf_first", "conf_mean")], "span_matches_value")
+
+
+def _stub_engine() -> recognition.Reader:
+    """Says what is on the page: at once, only when asked strictly, or never."""
+
+    def read(page: str, strict: bool) -> tuple[str, int]:
+        kind, _, answer = page.partition("|")
+        if kind == "lost":
+            raise OSError("no such page")
+        return (answer if kind == "clear" or (kind == "faint" and strict) else "I see a form"), len(page)
+
+    return read
+
+
+@query("""select c_custkey as doc_id, case when k in (0, 1) then c_name else '' end as name, case when k in (0, 1) then lpad((c_custkey % 1000)::varchar, 5, '0') else '' end as number, case k when 0 then 1 else 2 end as attempts, k < 2 as parsed,
+case k when 2 then 'ValueError: no object in the answer' when 3 then 'OSError: no such page' end as error, case when k < 2 then 'more' else '' end as extra_keys, case when k < 2 then 0 else 2 end as n_empty from (select *, c_custkey % 4 as k from customer)""")
+def u02_recognition_retries(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages through an engine with one stricter second try; failures keep their row."""
+    c = load(spark, sf, "customer")
+    kind = F.get(F.array(*map(F.lit, ("clear", "faint", "blank", "lost"))), (F.col("c_custkey") % 4).cast("int"))
+    answer = F.format_string('{"name": "%s", "number": %s, "more": 1}', "c_name", F.lpad((F.col("c_custkey") % 1000).cast("string"), 5, "0"))
+    pages = c.select(F.col("c_custkey").alias("doc_id"), F.concat(kind, F.lit("|"), answer).alias("page"))
+    values = F.col("values")
+    out = recognition.recognised(pages, _stub_engine, ["name", "number"])
+    return recognition.run_log(out, values["name"].alias("name"), values["number"].alias("number")).drop("seconds", "n_tokens")
