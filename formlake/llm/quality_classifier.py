@@ -102,12 +102,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     """Weights as bytes, from ``sample`` labelled rows at most that are outside fold 0.
 
     Rows with a null id or label teach nothing; of labels that repeat an id the
-    smallest counts. Without labelled rows the weights are zero.
+    smallest counts, and of rows that repeat an id the text with the smallest
+    hash: no task gets more than ``sample`` rows. Without labelled rows the
+    weights are zero.
     """
     chosen = labels.filter((fold(id_col) != 0) & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).cast("double").alias("_label"))
     chosen = chosen.withColumn("_order", F.xxhash64(F.lit(seed), id_col)).orderBy("_order", id_col).limit(sample)
     chosen = chosen.select(F.col(id_col).alias("_id"), "_label", "_order")
     rows = docs.select(id_col, F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))  # ``sample`` rows at most
+    rows = rows.groupBy("_order", "_id", "_label").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

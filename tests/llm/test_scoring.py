@@ -275,3 +275,13 @@ def test_classifier_learns_held_out(spark, odd, empty):
     assert len(got) == 11 and all(0 <= r["score"] <= 1 for r in got)
     assert quality_classifier.classify(empty, marks.limit(0)).count() == 0
     assert {r["score"] for r in quality_classifier.classify(odd, marks.limit(0)).collect()} == {0.5}
+
+
+def test_classifier_learns_one_row_per_id(spark):
+    rows = [(k, prose(k, 30)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = spark.createDataFrame(rows + [(3, None)] + rows[:9] * 200, "doc_id long, text string").filter("text is not null")
+    assert quality_classifier.fit(once, labels) == quality_classifier.fit(often, labels)
+    two = spark.createDataFrame(rows + [(3, "other words")], "doc_id long, text string")
+    assert quality_classifier.fit(two, labels) == quality_classifier.fit(two.repartition(5), labels)
