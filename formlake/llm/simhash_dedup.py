@@ -40,6 +40,7 @@ RADIUS = 15  # of the candidates of keep_one_per_group
 SIMILARITY = 0.8
 IN_BLOCK = 4  # shingles of a block, at least; twice as many at most
 KEPT_BLOCKS = 24
+SHORT = 20  # shingles of a text that also meets on single ones
 MAX_BUCKET = 8192
 RANDOM_BUCKET = 512
 _ITEMS = 1 << 15
@@ -75,11 +76,16 @@ def block_keys(distinct: np.ndarray, similarity: float) -> np.ndarray:
     average, and keys for KEPT_BLOCKS of them; also for the k of n / similarity
     shingles, so that texts of different sizes meet. Of similar texts with a
     Jaccard similarity J a block of c shingles is the same with a chance of
-    about J^c or more.
+    about J^c or more. Texts of SHORT shingles or fewer have too few blocks for
+    that; in addition each of their first shingles is a key, in the order of the
+    hashes and so many that two texts of this similarity share one for certain.
     """
     if not len(distinct):
         return np.zeros(0, np.int64)
     keys = []
+    if len(distinct) <= SHORT:
+        first = len(distinct) - int(np.ceil(similarity * len(distinct) - 1e-9)) + 1
+        keys.append((np.sort(distinct)[:first] ^ np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
     mixed = distinct * np.uint64(0x9E3779B97F4A7C15)
     for k in sorted({max(0, int(n / IN_BLOCK).bit_length() - 1) for n in (len(distinct), len(distinct) / similarity)}):
         block = (mixed >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(mixed), np.int64)
@@ -444,6 +450,6 @@ def keep_one_per_group(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     """
     groups = similar_groups(docs, text, id_col, words, radius, similarity).filter(F.col(id_col).isNotNull())
     keep = groups.groupBy("group").agg(F.min(F.struct(id_col, "row")).alias("k")).select(F.col(f"k.{id_col}").alias("__keep__"), F.col("k.row").alias("__keep_row__"))
-    rows = docs.withColumn("__row__", F.xxhash64(F.col(text).cast("string")))
-    kept = rows.join(keep, (F.col(id_col) == F.col("__keep__")) & (F.col("__row__") == F.col("__keep_row__")), "left_semi").dropDuplicates([id_col, "__row__"])
-    return kept.drop("__row__").unionByName(docs.filter(F.col(id_col).isNull()))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("row"))
+    kept = rows.join(keep, (F.col("id") == F.col("__keep__")) & (F.col("row") == F.col("__keep_row__")), "left_semi").dropDuplicates(["id", "row"])
+    return kept.select("doc.*").unionByName(docs.filter(F.col(id_col).isNull()))

@@ -1,4 +1,5 @@
 import collections
+import random
 
 import numpy as np
 import pytest
@@ -258,3 +259,23 @@ def test_blocks_of_similar_texts_agree():
         found.append(bool(keys[0] & keys[1]))
     assert np.mean(found) >= 0.95
     assert len(simhash_dedup.block_keys(np.zeros(0, np.uint64), 0.8)) == 0
+
+
+def test_stage_joins_short_texts(spark):
+    """Pairs of 7 to 30 words with the last word changed or one added, similarity of 0.8 and more: nine in ten meet, whatever the length."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(9000)]
+    pairs = []
+    for n in range(7, 31):
+        for k in range(24):
+            one = [rng.choice(words) for _ in range(n)]
+            other = [*one, rng.choice(words)] if k % 2 else [*one[:-1], rng.choice(words)]
+            a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (one, other))
+            if len(a & b) / len(a | b) >= 0.8:
+                pairs.append((n, " ".join(one), " ".join(other)))
+    rows = [(2 * k + j, p[1 + j]) for k, p in enumerate(pairs) for j in (0, 1)]
+    group = {r["doc_id"]: r["group"] for r in simhash_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for low, high in ((7, 10), (10, 13), (13, 17), (17, 31)):
+        met = [group[2 * k] == group[2 * k + 1] for k, p in enumerate(pairs) if low <= p[0] < high]
+        assert len(met) >= 20 and sum(met) >= 0.9 * len(met), (low, sum(met), len(met))
+    assert len(set(group.values())) >= len(pairs)
