@@ -197,14 +197,14 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     """
     taken = _mixed(docs, weights, share, repeats, seed, text, id_col, source)
     nth = F.row_number().over(Window.partitionBy(id_col, "row", "pattern").orderBy(F.desc("taken")))
-    taken = taken.withColumn("__nth__", nth).filter("taken > 0")
-    taken = taken.select(F.col(id_col).alias("__id__"), F.col("row").alias("__row__"), F.col("pattern").alias("__pattern__"), F.col("__nth__").alias("__taken_nth__"), F.col("size").alias("__size__"), F.col("taken").alias("__taken__"))
-    known = docs.withColumns({"__own_row__": F.xxhash64(F.col(text)), "__own_pattern__": _memberships(source)[1]})
-    known = known.withColumn("__nth__", F.row_number().over(Window.partitionBy(id_col, "__own_row__", "__own_pattern__").orderBy(F.lit(0))))
-    same = F.col(id_col).eqNullSafe(F.col("__id__")) & (F.col("__own_row__") == F.col("__row__")) & (F.col("__own_pattern__") == F.col("__pattern__"))
-    joined = known.join(taken, same & (F.col("__nth__") == F.col("__taken_nth__")))
-    full, rest = F.floor(F.col("__taken__") / F.col("__size__")), F.col("__taken__") % F.col("__size__")
-    uses = joined.withColumn("__part__", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
+    taken = taken.withColumn("nth", nth).filter("taken > 0").select(F.col(id_col).alias("t_id"), F.col("row").alias("t_row"), F.col("pattern").alias("t_pattern"), F.col("nth").alias("t_nth"), "size", "taken")
+    known = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"), _memberships(source)[1].alias("pattern"))
+    known = known.withColumn("nth", F.row_number().over(Window.partitionBy("id", "row", "pattern").orderBy(F.lit(0))))
+    same = F.col("id").eqNullSafe(F.col("t_id")) & (F.col("row") == F.col("t_row")) & (F.col("pattern") == F.col("t_pattern"))
+    joined = known.join(taken, same & (F.col("nth") == F.col("t_nth")))
+    full, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
+    uses = joined.withColumn("part", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
     # pieces of a word with the blanks before it
-    head = F.array_join(F.slice(F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("__part__").cast("int")), "")
-    return uses.withColumn(text, F.when(F.col("__part__") > 0, head).otherwise(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    head = F.array_join(F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("part").cast("int")), "")
+    told = F.when(F.col("part") > 0, head).otherwise(F.col("text"))
+    return uses.select(*[(told if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])
