@@ -10,8 +10,8 @@ holds most of the rows costs no more than a small one.
 
 Texts are read once: their measures and digests are written to the working
 folder. Copies are found by a grouping of the digests (partial minima first)
-and a plain join back, which adaptive execution may split where one text makes
-up much of the table.
+and a join back, in which the rows of one text are dealt out by a salt from their
+ids, so that a text that makes up much of the table meets no single task.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ FILTERS = {
 }
 #: n! orders are broadcast, n * n! rows made of each document.
 MOST_FILTERS = 6
+#: Parts into which the copies of one text are dealt.
+SALTS = 64
 
 
 def measured(docs: DataFrame, part: str | Column) -> DataFrame:
@@ -56,7 +58,10 @@ def measured(docs: DataFrame, part: str | Column) -> DataFrame:
 def with_copies(rows: DataFrame) -> DataFrame:
     """Add ``is_copy``: a row of a smaller id has the same text. Rows without an id are no copies, and have none."""
     firsts = rows.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.join(firsts, "digest", "left").withColumn("is_copy", F.coalesce(F.col("first_id") < F.col("id"), F.lit(False))).drop("first_id")
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    met = salted.join(firsts, ["digest", "salt"], "left")
+    return met.withColumn("is_copy", F.coalesce(F.col("first_id") < F.col("id"), F.lit(False))).drop("first_id", "salt")
 
 
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
