@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from formlake.plans import cell_queries, join_queries, order_queries, page_queries, parse_queries, rule_queries, signal_queries  # noqa: F401
+from formlake.plans import cell_queries, form_queries, join_queries, order_queries, page_queries, parse_queries, rule_queries, signal_queries  # noqa: F401
 from formlake.plans.cell_queries import flagship
 from formlake.plans.registry import ORACLES, QUERIES, Query
 

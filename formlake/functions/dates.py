@@ -90,6 +90,36 @@ def corrected_spelled_date(c: Column, ratio: float = 0.34) -> Column:
     return F.when(c.rlike(rf"[{_LETTERS}]{{3}}"), let(trimmed, lambda t: let(_spelled_parts(t), of)))
 
 
+def birth_date_shape(c: Column, ratio: float = 0.34) -> Column:
+    """True where the text is a real day, in numbers or with a month word near to a name; blanks do not count in numbers."""
+    tight = F.regexp_replace(c, r"\s+", "")
+
+    def of(p: Column) -> Column:
+        number = F.array_position(F.array(*map(F.lit, MONTHS)), nearest_month(p["word"], ratio)).cast("int")
+        digits = (F.translate(p["day"], "0123456789", "") == "") & (F.translate(p["year"], "0123456789", "") == "")
+        return digits & number.isNotNull() & real_day(p["year"].try_cast("int"), number, p["day"].try_cast("int"))
+
+    spelled = let(F.btrim(c, F.lit(" \t\n\r\x0b\x0c")), lambda t: let(_spelled_parts(t), of))
+    return numeric_date(tight) | F.coalesce(spelled, F.lit(False))
+
+
+def value_date(c: Column) -> Column:
+    """The day that a text names, null where it names none; month names must be written right, a year below 100 counts from 2000."""
+
+    def made(year: Column, month: Column, day: Column) -> Column:
+        y, m, d = year.try_cast("int"), month.cast("int"), day.try_cast("int")
+        return F.when(real_day(y, m, d), F.make_date(F.when(y < 100, y + 2000).otherwise(y), m, d))
+
+    def spelled(p: Column) -> Column:
+        month = F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS]), F.lower(p["word"]))
+        return made(p["year"], F.nullif(month, F.lit(0)), p["day"])
+
+    tight = F.regexp_replace(c, r"\s+", "")
+    parts = F.split(F.translate(tight, "/-", ".."), r"\.", -1)
+    told = let(F.btrim(c, F.lit(" \t\n\r\x0b\x0c")), lambda t: let(_spelled_parts(t), spelled))
+    return F.when(numeric_date(tight), let(parts, lambda p: made(F.get(p, 2), F.get(p, 1).try_cast("int"), F.get(p, 0)))).otherwise(told)
+
+
 def age_reason(day: Column, today: Column) -> Column:
     """Reason to doubt a birth date: in the future, or a hundred years ago and more; else null."""
     past = F.add_months(today, -1200)

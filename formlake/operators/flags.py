@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formlake.functions import json_fields
+from formlake.functions import dates, json_fields
 from formlake.operators import ordered
 
 
@@ -76,3 +76,82 @@ def field_confidences(pages: DataFrame, tokens: DataFrame, values: DataFrame, fi
     scored = span_confidence(spans, placed.select("doc_id", "pos", F.col("s").alias("ts"), F.col("e").alias("te"), "logp"))
     met = spans.join(scored, ["doc_id", "field"]).join(values.select("doc_id", "field", "value"), ["doc_id", "field"], "left")
     return met.select("doc_id", "field", "span", "n_tokens", "conf_min", "conf_first", "conf_mean", F.coalesce((F.col("n_tokens") > 0) & (F.col("parsed") == F.col("value")), F.lit(False)).alias("span_matches_value"))
+
+
+#: Cells whose least token probability is below this are worth a look.
+LEAST_CONFIDENCE = 0.75
+_MAIL = r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$"
+
+
+def format_reason(value: Column, today: Column) -> Column:
+    """Why a value does not look like one of its field, null where nothing speaks against it; the first reason counts.
+
+    Reads the field's ``type``, ``rule``, ``pattern`` and ``options`` (array of names) and the
+    group's ``status`` (null: nothing was measured, then the value must be an option). Other
+    empty values are never doubted.
+    """
+    rule, group = F.coalesce("rule", F.lit("none")), F.col("type") == "checkbox_group"
+    patterned = F.coalesce((F.col("type") == "number") & (F.col("pattern") != "") & (rule != "date"), F.lit(False))
+    foreign = F.coalesce((F.size("options") > 0) & ~F.array_contains("options", value), F.lit(False))
+    box = F.when(F.col("status").isNotNull(), F.when(F.col("status") != "ok", F.concat(F.lit("checkbox: "), "status"))).when(value == "", "checkbox: no option recognised").when(foreign, F.concat(F.lit("checkbox: no such option: "), value))
+    date = F.when(~dates.birth_date_shape(value), "not a calendar date").otherwise(dates.age_reason(dates.value_date(value), today))
+    return (
+        F.when(F.col("type").isNull(), None)
+        .when(group, box)
+        .when(value == "", None)
+        .when((rule == "name") & value.rlike(r"\d"), "digits in a name")
+        .when(patterned, F.when(~F.regexp_like(value, F.concat(F.lit("^(?:"), "pattern", F.lit(")"))), "not in the number's format"))
+        .when(rule == "date", date)
+        .when((rule == "email") & ~value.rlike(_MAIL), "not like an e-mail address")
+    )
+
+
+def _marked(cells: DataFrame, other: DataFrame | None, keys: Sequence[str], name: str, value: Column | None = None) -> DataFrame:
+    """``cells`` with column ``name``: ``value`` of the row of ``other`` with the same keys, null without one."""
+    if other is None:
+        return cells.withColumn(name, F.lit(None).cast("boolean"))
+    told = F.lit(True) if value is None else value
+    side = other.groupBy(*[F.col(k).alias(f"_{name}_{k}") for k in keys]).agg(F.max(told).alias(name))
+    met = cells.join(side, [F.col(k) == F.col(f"_{name}_{k}") for k in keys], "left")
+    return met.drop(*[f"_{name}_{k}" for k in keys])
+
+
+def plausibility(
+    cells: DataFrame, fields: DataFrame, today: Column, statuses: DataFrame | None = None, confidences: DataFrame | None = None, threshold: float = LEAST_CONFIDENCE,
+    changed: DataFrame | None = None, bleeding: DataFrame | None = None, skipped: DataFrame | None = None, reviewed: DataFrame | None = None,
+) -> DataFrame:
+    """(doc_id, field, reason) of the cells that call for a look, ordered by both; several reasons of a cell are joined by "; ".
+
+    ``cells``: (doc_id, field, value), null is empty; ``fields``: (field, type, rule, pattern,
+    options array<string>), names unique; columns not among them get no format check.
+    ``statuses``: (doc_id, field, status) of checkbox groups. ``confidences``: (doc_id, field,
+    conf_min); where given, a missing or NaN score is as low as one can be, and the reason of a
+    cell in ``changed`` says that the score is of the raw value. ``bleeding``: (doc_id, field, demo).
+    The documents ``skipped`` (demonstrations) and the cells ``reviewed`` by a person are not
+    doubted for confidence or bleeding, only for their format. Rows of a key given twice
+    count once; the result has a row for each row of ``cells`` with a reason.
+    """
+    key = ["doc_id", "field"]
+    own = fields.select(F.col("field").alias("_field"), "type", "rule", "pattern", "options")
+    met = cells.select("doc_id", "field", F.coalesce("value", F.lit("")).alias("value")).join(own, F.col("field") == F.col("_field"), "left")
+    met = _marked(met, statuses, key, "status", F.col("status") if statuses is not None else None)
+    met = met.withColumn("status", F.col("status").cast("string"))
+    score = None if confidences is None else F.nanvl(F.col("conf_min").cast("double"), F.lit(None).cast("double"))
+    met = _marked(met, confidences, key, "score", score)
+    met = _marked(met, changed, key, "was_changed")
+    met = _marked(met, reviewed, key, "was_reviewed")
+    met = _marked(met, skipped, ["doc_id"], "was_skipped")
+    if bleeding is None:
+        met = met.withColumn("demos", F.lit(None).cast("string"))
+    else:
+        seen = bleeding.groupBy(F.col("doc_id").alias("_bd"), F.col("field").alias("_bf")).agg(F.array_join(F.array_sort(F.collect_set(F.col("demo").cast("string"))), ", ").alias("demos"))  # demonstrations are few
+        met = met.join(seen, (F.col("doc_id") == F.col("_bd")) & (F.col("field") == F.col("_bf")), "left")
+    of_model = F.col("was_reviewed").isNull() & F.col("was_skipped").isNull()
+    low = F.lit(None).cast("string")
+    if confidences is not None:
+        text = F.when(F.col("score").isNull(), "no confidence").otherwise(F.format_string(f"low confidence (%.2f < {threshold:.2f})", F.col("score")))
+        text = F.concat(text, F.when(F.col("was_changed"), " of the raw value").otherwise(""))
+        low = F.when(of_model & (F.coalesce("score", F.lit(0.0)) < threshold), text)
+    bled = F.when(of_model & F.col("demos").isNotNull(), F.concat(F.lit("as in demonstration "), "demos"))
+    reason = F.nullif(F.concat_ws("; ", format_reason(F.col("value"), today), low, bled), F.lit(""))
+    return met.select("doc_id", "field", reason.alias("reason")).filter("reason is not null").orderBy("doc_id", "field", "reason")

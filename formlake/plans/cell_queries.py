@@ -1,4 +1,4 @@
-"""Queries over cells, sets, lists and layouts."""
+"""Queries over cells, sets and lists."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from formlake.operators import cells as C
 from formlake.operators import rules
 from formlake.plans.registry import query
 from formlake.session import load, work_dir
-from formlake.sources import layouts, lists, text_csv
+from formlake.sources import lists, text_csv
 
 PART_FIELDS = ("p_name", "p_brand", "p_type")
 
@@ -62,16 +62,6 @@ def a06_lexicon_load(spark: SparkSession, sf: str) -> DataFrame:
     return lists.sorted_lexicon(load(spark, sf, "part"), "p_name").withColumn("ord", F.col("ord").cast("long"))
 
 
-_LAYOUT_VALUES = ", ".join(f"({k}, '{f}', '{t}', {'null' if r is None else repr(r)})" for k, (f, t, r) in enumerate(layouts.FORM_FIELDS))
-
-
-@query(f"""select ord, field, type, coalesce(rule, case when type = 'number' then 'numeric' else 'none' end) as rule,
-type <> 'ignore' as is_output, type in ('text', 'number', 'long_text') as is_recognised
-from (values {_LAYOUT_VALUES}) t(ord, field, type, rule)""")
-def a07_layout_dimension(spark: SparkSession, sf: str) -> DataFrame:
-    return layouts.described(layouts.layout_fields(spark))
-
-
 @query("""select p_partkey, regexp_replace(regexp_replace(p_name || ' ' || p_brand, '[^A-Za-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as run_name from part""")
 def a08_slug_run_name(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "part").select("p_partkey", text.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("run_name"))
@@ -173,27 +163,3 @@ def s01_union_corrected(spark: SparkSession, sf: str) -> DataFrame:
     before = noisy_cells(spark, sf)
     fixed = rules.corrected(before.filter("doc_id % 10 <> 0"), [("number", "numeric", "[0-9]{5}$"), ("date", "date", None)])
     return fixed.unionByName(before.filter("doc_id % 10 = 0")).orderBy("doc_id", "field")
-
-
-@query(f"select field, round(x1 / 1000.0, 6) as x1, round(y1 / 1414.0, 6) as y1, round(x2 / 1000.0, 6) as x2, round(y2 / 1414.0, 6) as y2 from (values {', '.join(str(b) for b in layouts.SAMPLE_BOXES)}) t(field, x1, y1, x2, y2)")
-def q01_layout_relative(spark: SparkSession, sf: str) -> DataFrame:
-    out = layouts.to_relative(layouts.sample_boxes(spark), 1000, 1414)
-    return out.select("field", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
-
-
-@query("""select coalesce(a.field, b.field) as field, case when a.field is null then 'only in layout' when b.field is null then 'only in schema' else 'both' end as state
-from (values ('name'), ('city'), ('comment')) a(field) full join (values ('name'), ('city'), ('phone')) b(field) on a.field = b.field""")
-def q02_with_schema(spark: SparkSession, sf: str) -> DataFrame:
-    a = spark.createDataFrame([("name",), ("city",), ("comment",)], "field string")
-    b = spark.createDataFrame([("name",), ("city",), ("phone",)], "field string")
-    return layouts.reconciled(a, b)
-
-
-@query(f"select string_agg(ord || '. ' || field || ' (' || type || ')', '; ' order by ord) as prompt from (values {_LAYOUT_VALUES}) t(ord, field, type, rule) where type <> 'ignore'")
-def m01_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    return layouts.prompt(layouts.layout_fields(spark))
-
-
-@query(f"select field, case when rule = 'numeric' then 'numeric rule without a pattern' when type = 'ignore' and rule is not null then 'rule on an ignored field' end as problem from (values {_LAYOUT_VALUES}) t(ord, field, type, rule) where rule = 'numeric'")
-def n03_validate_dimension(spark: SparkSession, sf: str) -> DataFrame:
-    return layouts.problems(layouts.layout_fields(spark))

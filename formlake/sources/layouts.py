@@ -3,35 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TYPES = ("text", "number", "long_text", "checkbox_group", "ignore")
 RECOGNISED = ("text", "number", "long_text")
 
-#: A form's fields: name, type, rule.
-FORM_FIELDS = (
-    ("last_name", "text", "name"),
-    ("first_name", "text", "name"),
-    ("monthly_salary", "number", "numeric"),
-    ("birthday", "number", "date"),
-    ("email", "text", "email"),
-    ("studies", "checkbox_group", None),
-    ("street", "text", "street_suffix"),
-    ("house_number", "number", None),
-    ("city", "text", "lexicon"),
-    ("comment", "long_text", None),
-    ("signature", "ignore", None),
-)
-SAMPLE_BOXES = (("last_name", 100, 120, 480, 160), ("city", 55, 707, 500, 760), ("comment", 0, 900, 1000, 1414))
-_SCHEMA = "ord int, field string, type string, rule string"
-
-
-def layout_fields(spark: SparkSession, fields=FORM_FIELDS) -> DataFrame:
-    return spark.createDataFrame([(k, *f) for k, f in enumerate(fields)], _SCHEMA)
-
 
 def read_layout(path: str) -> list[dict]:
     """Fields of a layout file, checked: known types, names once, options only in checkbox groups."""
@@ -55,32 +34,28 @@ def checked(document: Mapping) -> list[dict]:
     return fields
 
 
+def _layout(rows: DataFrame) -> list[str]:
+    """The column that tells layouts apart, where there is one."""
+    return ["layout"] if "layout" in rows.columns else []
+
+
 def described(fields: DataFrame) -> DataFrame:
     """Every field with its rule in effect and what becomes of it."""
     rule = F.coalesce("rule", F.when(F.col("type") == "number", "numeric").otherwise("none"))
-    return fields.select("ord", "field", "type", rule.alias("rule"), (F.col("type") != "ignore").alias("is_output"), F.col("type").isin(*RECOGNISED).alias("is_recognised"))
-
-
-def problems(fields: DataFrame) -> DataFrame:
-    """(field, problem): settings that make a rule useless."""
-    problem = F.when(F.col("rule") == "numeric", "numeric rule without a pattern").when((F.col("type") == "ignore") & F.col("rule").isNotNull(), "rule on an ignored field")
-    return fields.select("field", problem.alias("problem")).filter("problem is not null")
-
-
-def sample_boxes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SAMPLE_BOXES, "field string, x1 int, y1 int, x2 int, y2 int")
+    return fields.select(*_layout(fields), "ord", "field", "type", rule.alias("rule"), (F.col("type") != "ignore").alias("is_output"), F.col("type").isin(*RECOGNISED).alias("is_recognised"))
 
 
 def to_relative(boxes: DataFrame, width: int, height: int) -> DataFrame:
     share = lambda c: (F.col(c) / (width if c[0] == "x" else height)).alias(c)
-    return boxes.select("field", *map(share, ("x1", "y1", "x2", "y2")))
+    return boxes.select(*_layout(boxes), "field", *map(share, ("x1", "y1", "x2", "y2")))
 
 
-def reconciled(schema: DataFrame, layout: DataFrame) -> DataFrame:
-    """(field, state): which names both sides know."""
-    a, b = schema.select(F.col("field").alias("a")), layout.select(F.col("field").alias("b"))
-    state = F.when(F.col("a").isNull(), "only in layout").when(F.col("b").isNull(), "only in schema").otherwise("both")
-    return a.join(b, F.col("a") == F.col("b"), "full_outer").select(F.coalesce("a", "b").alias("field"), state.alias("state"))
+def reconciled(schema: DataFrame, layout: DataFrame, keys: Sequence[str] = ("field",)) -> DataFrame:
+    """(keys, state): which names both sides know."""
+    a, b = (side.select(*[F.col(k).alias(e + k) for k in keys]) for side, e in ((schema, "a_"), (layout, "b_")))
+    state = F.when(F.col("a_field").isNull(), "only in layout").when(F.col("b_field").isNull(), "only in schema").otherwise("both")
+    met = a.join(b, [F.col("a_" + k) == F.col("b_" + k) for k in keys], "full_outer")
+    return met.select(*[F.coalesce("a_" + k, "b_" + k).alias(k) for k in keys], state.alias("state"))
 
 
 def with_boxes(fields: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -90,7 +65,7 @@ def with_boxes(fields: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def prompt(fields: DataFrame) -> DataFrame:
-    """One text that names the fields to read, in order."""
+    """One text a layout that names the fields to read, in order."""
     line = F.concat(F.col("ord").cast("string"), F.lit(". "), F.col("field"), F.lit(" ("), F.col("type"), F.lit(")"))
     ordered = F.array_sort(F.collect_list(F.struct("ord", line.alias("line"))))
-    return fields.filter("type <> 'ignore'").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "; ").alias("prompt"))
+    return fields.filter("type <> 'ignore'").groupBy(*_layout(fields)).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "; ").alias("prompt"))
