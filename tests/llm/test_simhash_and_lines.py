@@ -171,6 +171,39 @@ def test_line_groups_equal_brute_force(spark):
     assert kept == set(group.tolist())
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.9])
+def test_short_lines_meet_exactly(spark, similarity):
+    """Lines of 1 to 40 characters with letters changed, dropped and put in: all pairs of the similarity are joined, others are not."""
+    rng = random.Random(4)
+    lines = {"abc def ghi", "abc def ghj", "kurzer satz hier", "kurzer satz hiers", "漢字試験問題集", "漢字試験問題票", "a", "b", "ab"}
+    for _ in range(90):
+        one = "".join(rng.choice("abcdefghij ") for _ in range(rng.randrange(3, 40)))
+        lines.add(" ".join(one.split()) or "x")
+        for _ in range(3):
+            other = list(one)
+            for _ in range(rng.randrange(1, 2 + len(one) // 5)):
+                at = rng.randrange(len(other))
+                other[at] = rng.choice(["", other[at] + "k", rng.choice("lmn")])
+            lines.add(" ".join("".join(other).split()) or "x")
+    lines = sorted(lines)
+    spaced = [" ".join(x) if len(x.encode()) > 2 * len(x) else x for x in lines]
+    near = np.eye(len(lines), dtype=bool)
+    for i, x in enumerate(spaced):
+        for j, y in enumerate(spaced[:i]):
+            if min(len(x), len(y)) <= 32 and abs(len(x) - len(y)) <= 8:
+                near[i, j] = near[j, i] = distance(x, y) <= int((1 - similarity + 1e-9) * max(len(x), len(y)))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in line_dedup.dedup_lines(docs, similarity=similarity).collect() if r["text"]}
+    want = set(closure(near).tolist())
+    assert len(lines) - len(want) > 60
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "h1 long, norm string")
+    keys = {}
+    for r in line_dedup.short_buckets(rows, similarity).collect():
+        keys.setdefault(r["h1"], set()).add(r["bucket"])
+    assert all(keys[i] & keys[j] for i, j in np.argwhere(near) if i != j)
+    assert kept <= want and all(len(lines[k]) > 26 for k in want - kept)  # these also meet longer lines, by blocks
+
+
 def test_hot_buckets_lose_no_link(spark, monkeypatch):
     words = prose(3, 200).split()
     texts = [" ".join(words[:k] + ["zulu"] + words[k + 1 :]) for k in range(0, 60, 3)] + [" ".join(words[60:] + prose(k, 60).split()) for k in range(20)]
