@@ -211,7 +211,7 @@ def order_cells(orders: DataFrame) -> DataFrame:
 
 
 @query("""with o as (select o_orderkey as doc_id, o_orderkey % 6 as kind, o_orderdate::date as d, o_orderpriority as p, o_orderstatus as s, (o_orderkey % 4) / 4.0 as score, o_orderkey % 5 = 0 as changed, o_orderkey % 8 = 2 as seen, o_orderkey % 9 = 0 as skipped from orders),
-c as (select doc_id, 'born' as field, case kind when 2 then 'not a calendar date' when 4 then case when d + interval 60 year > date '2026-01-01' then 'date lies in the future' end when 5 then 'age is 100 years or more' end as r, null::varchar as m from o
+c as (select doc_id, 'born' as field, case kind when 2 then 'not a calendar date' when 4 then case when d + interval 60 year > date '2026-01-01' then 'date lies in the future' end when 5 then case when d = date '2000-02-29' then 'not a calendar date' else 'age is 100 years or more' end end as r, null::varchar as m from o
 union all select doc_id, 'name', case when kind < 3 and regexp_matches(p, '[0-9]') then 'digits in a name' end, null from o
 union all select doc_id, 'amount', case when kind = 1 then 'not in the number''s format' end, case when seen or skipped or score >= 0.75 then null when score = 0 then 'no confidence' else 'low confidence (' || printf('%.2f', score) || ' < 0.75)' end || case when changed then ' of the raw value' else '' end from o
 union all select doc_id, 'status', case when kind = 4 then 'checkbox: no option recognised' when s not in ('F', 'O') then 'checkbox: no such option: ' || s end, null from o
