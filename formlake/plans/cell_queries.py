@@ -92,7 +92,8 @@ def b04_disjoint_check(spark: SparkSession, sf: str) -> DataFrame:
 def noisy_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Order and part keys as recognised text with look-alike letters, and broken part names."""
     o = load(spark, sf, "orders")
-    keys = o.select(F.col("o_orderkey").alias("doc_id"), F.lit("number").alias("field"), F.when(F.col("o_orderkey") % 3 == 0, F.translate(F.lpad(F.col("o_orderkey").cast("string"), 5, "0"), "015", "olS")).otherwise(F.lpad(F.col("o_orderkey").cast("string"), 5, "0")).alias("value"))
+    number = text.zero_padded(F.col("o_orderkey"), 5)
+    keys = o.select(F.col("o_orderkey").alias("doc_id"), F.lit("number").alias("field"), F.when(F.col("o_orderkey") % 3 == 0, F.translate(number, "015", "olS")).otherwise(number).alias("value"))
     dates = o.select(F.col("o_orderkey").alias("doc_id"), F.lit("date").alias("field"), F.translate(F.date_format("o_orderdate", "d.M.yyyy"), "1", "l").alias("value"))
     return keys.unionByName(dates)
 

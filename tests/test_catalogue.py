@@ -46,3 +46,22 @@ def test_oracles_name_queries():
 
 def test_flagship(spark):
     assert catalogue.flagship(spark, SF).columns == ["field", "n_changed", "share"]
+
+
+def _against_sql(spark, folder, name):
+    c = duckdb.connect()
+    c.execute("set threads = 1")
+    for file in os.listdir(folder):
+        c.execute(f"create view {file.removesuffix('.parquet')} as select * from '{folder}/{file}'")
+    cursor = c.execute(catalogue.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    expected = sorted(tuple(plain(v) for v in r) for r in cursor.fetchall())
+    got = sorted(tuple(plain(r[n]) for n in names) for r in catalogue.queries()[name](spark, str(folder)).collect())
+    assert expected and got == expected
+
+
+@pytest.mark.parametrize("name", ["c01_diff_cells", "d01_changes_by_field", "s01_union_corrected", "p04_json_fewshot", "p12_value_spans", "j08_field_confidences", "h06_json_quote_bare"])
+def test_long_keys_stay_whole(spark, tmp_path, name):
+    keys = "99997, 99998, 99999, 100000, 100001, 100005, 100010, 123456, 9999999, 10000005, 15000017, 100000002, 510000011"
+    duckdb.execute(f"copy (select unnest([{keys}])::bigint as o_orderkey, 1::bigint as o_custkey, 'F' as o_orderstatus, 1.5 as o_totalprice, timestamp '1995-11-21 00:00:00' as o_orderdate, '1-URGENT' as o_orderpriority) to '{tmp_path}/orders.parquet' (format parquet)")
+    _against_sql(spark, tmp_path, name)
