@@ -43,7 +43,8 @@ def span_confidence(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     """(doc_id, field, n_tokens, conf_min, conf_first, conf_mean) of the tokens that a value's span touches.
 
     ``spans``: (doc_id, field, s, e); ``tokens``: (doc_id, pos, ts, te, logp).
-    Fields without a token have no row in ``tokens`` and get null scores.
+    Fields without a token have no row in ``tokens`` and get null scores. ``pos``, of any
+    type that can be ordered, should be unique in a document: of tokens at one place any may be the first.
     """
     t = tokens.withColumnRenamed("doc_id", "_doc")
     met = spans.join(t, (F.col("doc_id") == F.col("_doc")) & (F.col("ts") < F.col("e")) & (F.col("te") > F.col("s")), "left")

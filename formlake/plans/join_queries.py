@@ -40,7 +40,8 @@ def j02_mutual_nn(spark: SparkSession, sf: str) -> DataFrame:
 select s.doc_id, s.field, count(logp) as n_tokens, round(exp(min(logp)), 6) as conf_min, round(exp(arg_min(logp, pos)), 6) as conf_first, round(exp(avg(logp)), 6) as conf_mean from s left join t on t.doc_id = s.doc_id and ts < e and te > s group by 1, 2""")
 def j03_interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("l_linenumber")
-    tokens = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), n.alias("pos"), ((n - 1) * 10).alias("ts"), (n * 10).alias("te"), (-F.col("l_discount")).alias("logp"))
+    place = F.struct(n, F.col("_metadata.file_path"), F.col("_metadata.row_index"))  # line numbers repeat within an order: of equal ones the first in the table counts
+    tokens = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), place.alias("pos"), ((n - 1) * 10).alias("ts"), (n * 10).alias("te"), (-F.col("l_discount")).alias("logp"))
     spans = load(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("f").alias("field"), F.lit(5).alias("s"), (5 + F.col("o_orderkey") % 30).cast("int").alias("e"))
     out = flags.span_confidence(spans, tokens)
     return out.select("doc_id", "field", "n_tokens", *[F.round(c, 6).alias(c) for c in ("conf_min", "conf_first", "conf_mean")])

@@ -65,3 +65,19 @@ def test_long_keys_stay_whole(spark, tmp_path, name):
     keys = "99997, 99998, 99999, 100000, 100001, 100005, 100010, 123456, 9999999, 10000005, 15000017, 100000002, 510000011"
     duckdb.execute(f"copy (select unnest([{keys}])::bigint as o_orderkey, 1::bigint as o_custkey, 'F' as o_orderstatus, 1.5 as o_totalprice, timestamp '1995-11-21 00:00:00' as o_orderdate, '1-URGENT' as o_orderpriority) to '{tmp_path}/orders.parquet' (format parquet)")
     _against_sql(spark, tmp_path, name)
+
+
+def test_first_of_repeated_line_numbers(spark, tmp_path):
+    """Tokens at the same place: the first in the table counts, however the rows are dealt out."""
+    duckdb.execute(f"copy (select i::bigint as o_orderkey from range(2000) t(i)) to '{tmp_path}/orders.parquet' (format parquet)")
+    lines = "select (i * 7 % 2000)::bigint as l_orderkey, (1 + i // 2000 % 3)::int as l_linenumber, (i * 13 % 101) / 1000.0::double as l_discount from range(24000) t(i)"
+    duckdb.execute(f"copy ({lines}) to '{tmp_path}/lineitem.parquet' (format parquet, row_group_size 500)")
+    dealt = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "0", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "3"}
+    before = {k: spark.conf.get(k) for k in dealt}
+    try:
+        for k, v in dealt.items():
+            spark.conf.set(k, v)
+        _against_sql(spark, tmp_path, "j03_interval_overlap")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
