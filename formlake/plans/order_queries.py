@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formlake.operators import ordered, segmentation
+from formlake.operators import closest_pairs, ordered, segmentation
 from formlake.plans.registry import query
 from formlake.session import load
 
@@ -85,11 +85,8 @@ def e08_next_non_label(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""select a, b, d from (select l.vec_id as a, r.vec_id as b, round(sqrt(list_sum(list_transform(list_zip(l.embedding, r.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))), 6) as d from embeddings l join embeddings r on l.label = r.label and l.vec_id < r.vec_id ) order by d, a, b limit 500""")
 def f01_topk_matches(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    r = e.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"), F.col("embedding").alias("eb"))
-    met = e.join(r, (F.col("label") == F.col("lb")) & (F.col("vec_id") < F.col("b")))
-    d = F.sqrt(F.aggregate(F.zip_with("embedding", "eb", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda a, x: a + x))
-    return met.select(F.col("vec_id").alias("a"), "b", F.round(d, 6).alias("d")).orderBy("d", "a", "b").limit(500)
+    found = closest_pairs.candidates(load(spark, sf, "embeddings"), "label", "vec_id", "embedding", 500)
+    return found.select("a", "b", F.round("d", 6).alias("d")).orderBy(F.asc_nulls_last("d"), "a", "b").limit(500)
 
 
 _HEIGHTS = "(select vec_id, list((floor(x * 1000) + 600)::double order by i) as p from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings) group by 1)"

@@ -1,4 +1,5 @@
 import json
+import math
 import struct
 import zlib
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formlake.functions import dates, geometry, json_fields, text
-from formlake.operators import cells, flags, guardrail, markup, matching, ordered, rules, vision
+from formlake.operators import cells, closest_pairs, flags, guardrail, markup, matching, ordered, rules, vision
 from formlake.sources import layouts, lists, text_csv
 from formlake.streaming import ingest
 
@@ -234,3 +235,26 @@ def test_labels_inside_a_line(spark):
     got = {(r["doc_id"], r["field"]): r["value"] for r in markup.field_values(parts, markup.label_specs(spark, names)).collect()}
     assert got[1, "name"] == "A b" and got[1, "city"] == "B" and got[2, "name"] == "" and got[2, "city"] == "B"
     assert got[3, "city"] == "" and got[4, "name"] == "Street Citymap" and got[4, "city"] == "C" and got[4, "street"] == ""
+
+
+def test_closest_pairs_in_blocks(spark, monkeypatch):
+    """All pairs by brute force: copies, missing components, several blocks of a key, no key."""
+    rng = np.random.default_rng(5)
+    rows = [(k, k % 2, [float(x) for x in rng.integers(0, 4, 5)]) for k in range(90)]
+    rows += [(100, 0, None), (101, 1, [1.0, None, 2.0, 0.0, 1.0]), (102, 1, [2.0, 1.0]), (103, 0, [float("nan")] * 5), (104, None, [1.0] * 5), (105, 0, [])]
+    given = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+
+    def distance(x, y):
+        both = [(p, q) for p, q in zip(x or [], y or []) if p is not None and q is not None]
+        return math.sqrt(sum((p - q) ** 2 for p, q in both)) if both else None
+
+    told = [(a[0], b[0], distance(a[2], b[2])) for a in rows for b in rows if a[0] < b[0] and a[1] is not None and a[1] == b[1]]
+    place = lambda p: (p[2] is None, p[2] is not None and math.isnan(p[2]), 0 if p[2] is None or math.isnan(p[2]) else round(p[2], 6), p[:2])
+    told.sort(key=place)
+    for size, k in ((4096, 40), (16, 40), (16, 5000)):
+        monkeypatch.setattr(closest_pairs, "BLOCK", size)
+        found = closest_pairs.candidates(given, "label", "vec_id", "embedding", k)
+        if k < len(told):
+            assert found.count() < len(told)
+        got = sorted((tuple(r) for r in found.collect()), key=place)[:k]
+        assert repr(got) == repr(told[:k])
