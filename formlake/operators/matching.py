@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PARTS = 32  # of one side of a comparison of all with all, each a key of its own
+
 
 def nearest_entries(values: DataFrame, entries: DataFrame, ratio: float, value: str = "value", entry: str = "entry", order: str = "ord") -> DataFrame:
     """(value, entry, distance): the nearest list entry of each distinct value, within ``ratio`` of the value's length.
@@ -28,12 +30,24 @@ def nearest_entries(values: DataFrame, entries: DataFrame, ratio: float, value:
 def mutual_nearest(left: DataFrame, right: DataFrame, distance: Column, left_id: str, right_id: str, on: Column | None = None) -> DataFrame:
     """(left_id, right_id, distance) of pairs that are each other's nearest; ties to the smaller id.
 
-    ``on`` is the block condition under which rows may meet.
+    ``on`` is the block condition under which rows may meet. Ids are unique on their side, and
+    null ids meet nobody. Pairs are counted down to a row per id and distance where they are
+    made, so none is shuffled; the second look, from the right, is only at rows that are somebody's nearest.
     """
-    met = left.join(right, on if on is not None else F.lit(True)).withColumn("distance", distance)
-    by_left = F.row_number().over(Window.partitionBy(left_id).orderBy("distance", right_id))
-    by_right = F.row_number().over(Window.partitionBy(right_id).orderBy("distance", left_id))
-    return met.withColumns({"_l": by_left, "_r": by_right}).filter("_l = 1 and _r = 1").select(left_id, right_id, "distance")
+
+    def nearest(asking: DataFrame, asked: DataFrame, own: str, other: str) -> DataFrame:
+        """(own, other, distance): one side is dealt into parts that each meet the other side whole."""
+        parts = asking.filter(F.col(own).isNotNull()).withColumn("_part", F.pmod(F.xxhash64(own), F.lit(PARTS)).cast("int"))
+        whole = asked.filter(F.col(other).isNotNull()).withColumn("_for", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        same = F.col("_part") == F.col("_for")
+        met = parts.join(whole, same if on is None else same & on).withColumn("distance", distance)
+        least = met.groupBy(own, "distance").agg(F.min(other).alias(other))  # plain values: a minimum of structs would sort all pairs
+        return least.groupBy(own).agg(F.min(F.struct("distance", other)).alias("_n")).select(own, f"_n.{other}", "_n.distance")
+
+    forth = nearest(left, right, left_id, right_id)
+    chosen = right.join(forth.select(F.col(right_id).alias("_chosen")), F.col(right_id) == F.col("_chosen"), "left_semi")
+    back = nearest(chosen, left, right_id, left_id).select(F.col(left_id).alias("_l"), F.col(right_id).alias("_r"))
+    return forth.join(back, (F.col(left_id) == F.col("_l")) & (F.col(right_id) == F.col("_r"))).select(left_id, right_id, "distance")
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:

@@ -258,3 +258,19 @@ def test_closest_pairs_in_blocks(spark, monkeypatch):
             assert found.count() < len(told)
         got = sorted((tuple(r) for r in found.collect()), key=place)[:k]
         assert repr(got) == repr(told[:k])
+
+
+def test_mutual_nearest_counts_pairs_where_they_are_made(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, int(rng.integers(3)), int(rng.integers(1 << 6))) for k in range(300)]
+    left = spark.createDataFrame([r for r in rows if r[0] % 2 == 0], "a long, la int, ca long")
+    right = spark.createDataFrame([r for r in rows if r[0] % 2], "b long, lb int, cb long")
+    gap = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")))
+    pairs = [((x[2] ^ y[2]).bit_count(), x[0], y[0]) for x in rows for y in rows if x[0] % 2 == 0 and y[0] % 2 and x[1] == y[1]]
+    forth = {a: min((d, b) for d, p, b in pairs if p == a) for _, a, _ in pairs}
+    back = {b: min((d, a) for d, a, p in pairs if p == b) for _, _, b in pairs}
+    out = matching.mutual_nearest(left, right, gap, "a", "b", F.col("la") == F.col("lb"))
+    assert sorted(map(tuple, out.collect())) == sorted((a, b, d) for a, (d, b) in forth.items() if back[b] == (d, a))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortAggregate" not in plan.split("Join")[-1]
+    assert matching.mutual_nearest(left, right, gap, "a", "b").count() > 0
