@@ -1,5 +1,6 @@
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
@@ -312,3 +313,23 @@ def test_stage_joins_short_texts(spark):
         met = [group[2 * k] == group[2 * k + 1] for k, p in enumerate(pairs) if low <= p[0] < high]
         assert len(met) >= 20 and sum(met) >= 0.9 * len(met), (low, sum(met), len(met))
     assert len(set(group.values())) >= len(pairs)
+
+
+def test_edit_similar_leaves_out_no_pair(spark):
+    """Text moved, many words put in, letters changed all over, at 60 to 1,600 characters: the whole distance decides, also where letters get blanks."""
+    rng = random.Random(8)
+    rows = [("क़िलापरकमलखड़ाहै", "क़िलापरकमलदखड़ाहैव"), ("漢字漢字漢字ab ab ab", "漢字漢字漢字ab abc ab")]
+    for size in (14, 60, 110, 240):
+        for _ in range(6):
+            words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(size)]
+            text, share = " ".join(words), rng.choice((0.1, 0.17, 0.21))
+            at, n = rng.randrange(size // 2), max(1, int(size * share / 2))
+            rows.append((text, " ".join(words[:at] + words[at + n : size - n] + words[at : at + n] + words[size - n :])))
+            rows.append((text, " ".join(words[:at] + ["xy"] * int(size * share * 1.8) + words[at:])))
+            rows.append((text, "".join(c if rng.random() > share else rng.choice(["", c + "z", "y "]) for c in text)))
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(rows)], "n int, x string, y string")
+    spread = lambda x: re.sub(r"([^\W\d_][ऀ-ःऺ-ॏ]*) ?", r"\1 ", x).strip() if len(x.encode()) > 2 * len(x) else x
+    near = lambda x, y: distance(x, y) <= int((0.2 + 1e-9) * max(len(x), len(y)))
+    want = {k for k, (x, y) in enumerate(rows) if near(x, y) or near(spread(x), spread(y))}
+    assert {r["n"] for r in line_dedup.edit_similar(df, "x", "y", 0.8).collect()} == want
+    assert {0, 1} <= want and 10 < len(want) < len(rows) - 10
