@@ -22,6 +22,7 @@ from pyspark.sql.types import ArrayType, StructType
 from formlake.functions import text
 from formlake.functions.text import let
 from formlake.operators.markup import page_segments
+from formlake.session import spread
 
 PARSER_VERSION = "pages-1"
 STRATEGIES = ("inline", "grid", "geometric", "sequential")
@@ -73,7 +74,7 @@ def pages_of(rows: DataFrame) -> DataFrame:
 
     part = StructType.fromDDL(", ".join(_PARTS))
     out = StructType([rows.schema["doc_id"]]).add("source", "string").add("segs", ArrayType(part))
-    return rows.select("doc_id", F.col("raw").cast("string").alias("raw")).mapInArrow(run, out)
+    return spread(rows.select("doc_id", F.col("raw").cast("string").alias("raw"))).mapInArrow(run, out)
 
 
 def _printed(labels: Sequence[str]) -> str:
@@ -108,21 +109,28 @@ def with_labels(pages: DataFrame, form: Form) -> DataFrame:
     others = {n: _inside([v for m, vs in names.items() if m != n for v in vs]) for n in names} if len(names) > 1 else {}
     plain = lambda x: text.with_struck_text(x["text"])
 
-    def opens(x: Column, n: str) -> Column:
-        return x["text"].rlike(opening[n]) | plain(x).rlike(opening[n])
+    any_opening = _opening([v for vs in names.values() for v in vs])
 
-    def hit(x: Column, n: str) -> Column:
-        t = x["text"]
+    def either(t: Column, p: Column, pattern: str) -> Column:
+        return t.rlike(pattern) | F.when(p != t, p.rlike(pattern)).otherwise(False)
+
+    def hit(t: Column, p: Column, n: str) -> Column:
         rest = F.when(t.rlike(opening[n]), F.regexp_replace(t, opening[n], "")).when(t.rlike(inside[n]), F.get(F.split(t, inside[n], 2), 1))
         value = text.clean_value(F.get(F.split(rest, others[n], 2), 0) if n in others else rest)
-        found = opens(x, n) | t.rlike(inside[n]) | plain(x).rlike(inside[n])
+        found = either(t, p, opening[n]) | either(t, p, inside[n])
         return F.when(found, F.struct(F.lit(n).alias("name"), F.coalesce(value, F.lit("")).alias("inline")))
 
     def marked(x: Column) -> Column:
-        begins = reduce(Column.__or__, (opens(x, n) for n in names))
-        only = reduce(Column.__or__, (x["text"].rlike(p) & (text.clean_value(F.regexp_replace(x["text"], p, "")) == "") for p in opening.values()))
-        hits = F.when(begins, F.array_compact(F.array(*[hit(x, n) for n in names]))).otherwise(F.array().cast("array<struct<name:string,inline:string>>"))
-        return x.withField("hits", hits).withField("label_only", begins & only).withField("value", text.clean_value(x["text"]))
+        none = F.array().cast("array<struct<name:string,inline:string>>")
+
+        def told(s: Column) -> Column:
+            t, p = s["text"], s["plain"]
+            only = reduce(Column.__or__, (t.rlike(o) & (text.clean_value(F.regexp_replace(t, o, "")) == "") for o in opening.values()))
+            found = F.struct(F.array_compact(F.array(*[hit(t, p, n) for n in names])).alias("hits"), only.alias("only"))
+            return F.when(either(t, p, any_opening), found).otherwise(F.struct(none.alias("hits"), F.lit(False).alias("only")))
+
+        own = let(F.struct(x["text"].alias("text"), plain(x).alias("plain")), told)
+        return let(own, lambda m: x.withField("hits", m["hits"]).withField("label_only", m["only"]).withField("value", text.clean_value(x["text"])))
 
     out = pages.withColumn("segs", F.transform("segs", lambda x: x.withField("text", text.clean_text(x["text"]))))
     out = out.withColumn("segs", F.filter("segs", lambda x: x["row"].isNotNull() | (plain(x) != "")))
@@ -275,14 +283,15 @@ def _field(segs: Column, places: Column, f: Column) -> Column:
 
     def from_text(a: Column) -> Column:
         ways = {"inline": F.struct(F.nullif(a["inline"], F.lit("")).alias("value"), a["ord"].alias("ord")), "grid": grid_value(segs, a), "geometric": geometric_value(segs, a), "sequential": sequential_value(segs, a)}
-        each = F.array(*[F.struct(F.lit(k).alias("how"), w["value"].alias("value"), w["ord"].alias("ord")) for k, w in ways.items()])
+        named = lambda k: lambda w: F.when(w["value"].isNotNull(), F.struct(F.lit(k).alias("how"), w["value"].alias("value"), w["ord"].alias("ord")))
+        first_way = F.coalesce(*[let(w, named(k)) for k, w in ways.items()])  # a way that no earlier one made needless
 
         def told(w: Column) -> Column:
             first = F.coalesce(w["value"], F.lit(""))
             whole = F.when(f["kind"] == "long_text", continued(segs, a, first, F.greatest(a["ord"], w["ord"]))).otherwise(first)
             return let(whole, lambda v: F.struct(v.alias("value"), F.when(v == "", none).otherwise(F.coalesce(w["how"], F.lit("sequential"))).alias("strategy"), F.lit(None).cast("string").alias("checkbox")))
 
-        return let(F.get(F.filter(each, lambda w: w["value"].isNotNull()), 0), told)
+        return let(first_way, told)
 
     def from_boxes(a: Column) -> Column:
         def told(r: Column) -> Column:

@@ -148,3 +148,10 @@ def test_segments_keep_what_the_page_says():
     assert [x[0] for x in markup.page_segments(page)] == ["a"]
     assert markup.page_segments("<div data-bbox='1.5 -2 3 4'>a</div><div data-bbox='1 2 3'>b</div>")[0][1] == (1, -2, 3, 4)
     assert markup.page_segments("<div data-bbox='1 2 3'>b</div>")[0][1] is None
+
+
+def test_pages_of_one_file_are_many_tasks(spark):
+    rows = spark.range(400).coalesce(1).selectExpr("id as doc_id", "'Name: A' as raw")
+    parsed = form_pages.parse(rows, form_pages.Form((form_pages.Field("name", ("Name",)),)))
+    per_task = [n for n in parsed.select("doc_id", "fields").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(per_task) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(per_task) < 150
