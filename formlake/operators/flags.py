@@ -47,7 +47,7 @@ def span_confidence(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     type that can be ordered, should be unique in a document: of tokens at one place any may be the first.
     """
     t = tokens.withColumnRenamed("doc_id", "_doc")
-    met = spans.join(t, (F.col("doc_id") == F.col("_doc")) & (F.col("ts") < F.col("e")) & (F.col("te") > F.col("s")), "left")
+    met = spans.join(t.hint("merge"), (F.col("doc_id") == F.col("_doc")) & (F.col("ts") < F.col("e")) & (F.col("te") > F.col("s")), "left")
     return met.groupBy("doc_id", "field").agg(F.count("logp").alias("n_tokens"), F.exp(F.min("logp")).alias("conf_min"), F.exp(F.min_by("logp", "pos")).alias("conf_first"), F.exp(F.avg("logp")).alias("conf_mean"))
 
 
@@ -62,7 +62,7 @@ def field_confidences(pages: DataFrame, tokens: DataFrame, values: DataFrame, fi
     """
     placed = ordered.token_spans(tokens.select("doc_id", "pos", F.coalesce("text", F.lit("")).alias("text"), "logp"), ["doc_id"], "pos", "text")
     told = tokens.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "").alias("told"))
-    raw = pages.select("doc_id", F.coalesce("raw", F.lit("")).alias("raw")).join(told, "doc_id", "left")
+    raw = pages.select("doc_id", F.coalesce("raw", F.lit("")).alias("raw")).join(told.hint("merge"), "doc_id", "left")  # tokens, spans and values grow with the pages and look small before they are made: none is sent to the driver
     whole = F.col("raw") == F.coalesce("told", F.lit(""))
     every = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), json_fields.value_span(F.col("raw"), f).alias("v")) for f in fields])).alias("x")
     spans = raw.select("doc_id", whole.alias("whole"), every).select("doc_id", "whole", "x.field", "x.v")
@@ -75,7 +75,7 @@ def field_confidences(pages: DataFrame, tokens: DataFrame, values: DataFrame, fi
         json_fields.value_as_parsed(F.col("v")).alias("parsed"),
     )
     scored = span_confidence(spans, placed.select("doc_id", "pos", F.col("s").alias("ts"), F.col("e").alias("te"), "logp"))
-    met = spans.join(scored, ["doc_id", "field"]).join(values.select("doc_id", "field", "value"), ["doc_id", "field"], "left")
+    met = spans.hint("merge").join(scored.hint("merge"), ["doc_id", "field"]).join(values.select("doc_id", "field", "value").hint("merge"), ["doc_id", "field"], "left")
     return met.select("doc_id", "field", "span", "n_tokens", "conf_min", "conf_first", "conf_mean", F.coalesce((F.col("n_tokens") > 0) & (F.col("parsed") == F.col("value")), F.lit(False)).alias("span_matches_value"))
 
 

@@ -81,3 +81,8 @@ def test_first_of_repeated_line_numbers(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_field_confidences_broadcast_nothing(spark):
+    plan = catalogue.queries()["j08_field_confidences"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
