@@ -215,6 +215,29 @@ def test_hot_buckets_lose_no_link(spark, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == usual
 
 
+def test_short_lines_that_only_share_segments_are_no_pairs(spark, monkeypatch):
+    """Short lines of frequent words meet by the hundred; of those pairs only the ones alike leave the buckets."""
+    rng = random.Random(2)
+    words = ["the", "and", "tion", "ing", "ere", "ou", "st", "nd"]
+    lines = sorted({" ".join(rng.choice(words) for _ in range(9))[:30].strip() for _ in range(160)} | {"漢字試験問題集", "漢字試験問題票", "漢字試験問回集"})
+    seen = []
+    verified = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, texts, similarity: seen.append((pairs.count(), out := verified(pairs, texts, similarity))) or out)
+    rows = spark.createDataFrame(list(enumerate(lines)), "h1 long, norm string").repartition(4)
+    links = [tuple(r) for r in line_dedup.line_links(rows, 0.9).collect()]
+    spaced = [" ".join(x) if len(x.encode()) > 2 * len(x) else x for x in lines]
+    near = np.eye(len(lines), dtype=bool)
+    joined = near.copy()
+    for a, b in links:
+        joined[a, b] = joined[b, a] = True
+    for i, x in enumerate(spaced):
+        for j, y in enumerate(spaced[:i]):
+            near[i, j] = near[j, i] = abs(len(x) - len(y)) <= 4 and distance(x, y) <= int((0.1 + 1e-9) * max(len(x), len(y)))
+    assert closure(joined).tolist() == closure(near).tolist() and near.sum() > len(lines)
+    (_, _), (pairs, found) = seen
+    assert pairs == found.count() > 0
+
+
 def test_edit_similarity_by_brute_force(spark):
     import random
 
