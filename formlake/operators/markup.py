@@ -12,6 +12,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from formlake.functions.text import STRUCK, UNSTRUCK
 
 SEGMENTS = "doc_id long, ord int, text string, x0 int, y0 int, x1 int, y1 int, tbl int, row int, col int, source string"
 _MOST_SPAN = 12
+AT_ONCE = 256  # pages whose segments a worker holds before it hands them on
 _BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section"}
 _GROUNDED = re.compile(r"<\|ref\|>(.*?)<\|/ref\|>\s*<\|det\|>(.*?)<\|/det\|>(.*?)(?=<\|ref\|>|\Z)", re.S)
 _BOXES = re.compile(r"\[([^\[\]]*)\]")
@@ -161,16 +163,19 @@ def page_segments(raw: str, whole: bool = False) -> list[tuple]:
 
 
 def segments(pages: DataFrame) -> DataFrame:
-    """Segments of ``pages`` (doc_id, raw); a null or empty page has none."""
+    """Segments of ``pages`` (doc_id, raw); a null or empty page has none. A worker holds those of AT_ONCE pages at a time."""
+    names, kinds = zip(*[x.split() for x in SEGMENTS.split(", ")], strict=True)
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[k] for k in kinds]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in SEGMENTS.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, k, t, *(box or (None,) * 4), *rest) for d, raw in zip(b["doc_id"], b["raw"], strict=True) for k, (t, box, *rest) in enumerate(page_segments(raw or ""))]
-            frame = pd.DataFrame(rows, columns=names)
-            yield frame.astype({n: "Int32" for n in names[1:2] + names[3:10]})
+            for at in range(0, b.num_rows, AT_ONCE):
+                some = b.slice(at, AT_ONCE)
+                rows = [(d, k, t, *(box or (None,) * 4), *rest) for d, raw in zip(some["doc_id"].to_pylist(), some["raw"].to_pylist(), strict=True) for k, (t, box, *rest) in enumerate(page_segments(raw or ""))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
-    return pages.select("doc_id", "raw").mapInPandas(run, SEGMENTS)
+    return pages.select("doc_id", F.col("raw").cast("string").alias("raw")).mapInArrow(run, SEGMENTS)
 
 
 def label_specs(spark: SparkSession, labels: Mapping[str, Sequence[str]]) -> DataFrame:

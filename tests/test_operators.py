@@ -274,3 +274,16 @@ def test_mutual_nearest_counts_pairs_where_they_are_made(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SortAggregate" not in plan.split("Join")[-1]
     assert matching.mutual_nearest(left, right, gap, "a", "b").count() > 0
+
+
+def test_segments_leave_a_worker_in_small_batches(spark):
+    import pyarrow as pa
+
+    class Pages:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run  # noqa: E731, N815
+
+    pages = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array([None if k % 7 == 0 else f"<p>a{k}</p><p>b</p>" for k in range(1000)])], names=["doc_id", "raw"])
+    out = [b.to_pylist() for b in markup.segments(Pages())(iter([pages]))]
+    assert max(len({r["doc_id"] for r in b}) for b in out) <= markup.AT_ONCE < 1000
+    assert [(r["doc_id"], r["ord"], r["text"]) for b in out for r in b] == [(k, i, t) for k in range(1000) if k % 7 for i, t in enumerate((f"a{k}", "b"))]
