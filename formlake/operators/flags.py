@@ -107,12 +107,16 @@ def format_reason(value: Column, today: Column) -> Column:
     )
 
 
-def _marked(cells: DataFrame, other: DataFrame | None, keys: Sequence[str], name: str, value: Column | None = None) -> DataFrame:
-    """``cells`` with column ``name``: ``value`` of the row of ``other`` with the same keys, null without one."""
+#: Cells that one task of ``plausibility`` holds, about.
+CELLS_A_TASK = 250_000
+
+
+def _marked(cells: DataFrame, other: DataFrame | None, keys: Sequence[str], name: str, value: Column | None = None, parts: int = 1) -> DataFrame:
+    """``cells`` with column ``name``: ``value`` of the row of ``other`` with the same keys, null without one; ``other`` is dealt into ``parts`` first, so that no task sums up a whole file."""
     if other is None:
         return cells.withColumn(name, F.lit(None).cast("boolean"))
     told = F.lit(True) if value is None else value
-    side = other.groupBy(*[F.col(k).alias(f"_{name}_{k}") for k in keys]).agg(F.max(told).alias(name))
+    side = other.repartition(parts, *keys).groupBy(*[F.col(k).alias(f"_{name}_{k}") for k in keys]).agg(F.max(told).alias(name))
     met = cells.join(side, [F.col(k) == F.col(f"_{name}_{k}") for k in keys], "left")
     return met.drop(*[f"_{name}_{k}" for k in keys])
 
@@ -130,18 +134,20 @@ def plausibility(
     cell in ``changed`` says that the score is of the raw value. ``bleeding``: (doc_id, field, demo).
     The documents ``skipped`` (demonstrations) and the cells ``reviewed`` by a person are not
     doubted for confidence or bleeding, only for their format. Rows of a key given twice
-    count once; the result has a row for each row of ``cells`` with a reason.
+    count once; the result has a row for each row of ``cells`` with a reason. ``cells`` are
+    counted first: a task holds about CELLS_A_TASK of them, however many there are.
     """
+    parts = max(cells.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // CELLS_A_TASK))
     key = ["doc_id", "field"]
     own = fields.select(F.col("field").alias("_field"), "type", "rule", "pattern", "options")
-    met = cells.select("doc_id", "field", F.coalesce("value", F.lit("")).alias("value")).join(own, F.col("field") == F.col("_field"), "left")
-    met = _marked(met, statuses, key, "status", F.col("status") if statuses is not None else None)
+    met = cells.select("doc_id", "field", F.coalesce("value", F.lit("")).alias("value")).join(F.broadcast(own), F.col("field") == F.col("_field"), "left").repartition(parts, *key)
+    met = _marked(met, statuses, key, "status", F.col("status") if statuses is not None else None, parts)
     met = met.withColumn("status", F.col("status").cast("string"))
     score = None if confidences is None else F.nanvl(F.col("conf_min").cast("double"), F.lit(None).cast("double"))
-    met = _marked(met, confidences, key, "score", score)
-    met = _marked(met, changed, key, "was_changed")
-    met = _marked(met, reviewed, key, "was_reviewed")
-    met = _marked(met, skipped, ["doc_id"], "was_skipped")
+    met = _marked(met, confidences, key, "score", score, parts)
+    met = _marked(met, changed, key, "was_changed", parts=parts)
+    met = _marked(met, reviewed, key, "was_reviewed", parts=parts)
+    met = _marked(met, skipped, ["doc_id"], "was_skipped", parts=parts)
     if bleeding is None:
         met = met.withColumn("demos", F.lit(None).cast("string"))
     else:
