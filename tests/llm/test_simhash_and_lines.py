@@ -238,6 +238,30 @@ def test_short_lines_that_only_share_segments_are_no_pairs(spark, monkeypatch):
     assert pairs == found.count() > 0
 
 
+def test_lines_around_one_passage_cost_few_pairs(spark, monkeypatch):
+    """Lines that share a long passage meet in one bucket; those alike are joined in rounds, and the pairs that are not alike stay inside it."""
+    rng = random.Random(6)
+    passage = prose(5, 40)
+    texts = [" ".join(filter(None, (prose(100 + k, rng.randrange(16)), passage, prose(400 + k, rng.randrange(16))))) for k in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "h1 long, norm string").repartition(4)
+    verified, seen = line_dedup._verified, []
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, texts, similarity: seen.append(pairs.count()) or verified(pairs, texts, similarity))
+
+    def groups():
+        seen.clear()
+        joined = np.eye(len(texts), dtype=bool)
+        for a, b in line_dedup.line_links(rows).collect():
+            joined[a, b] = joined[b, a] = True
+        return closure(joined).tolist()
+
+    monkeypatch.setattr(line_dedup, "CROWD", 8, raising=False)
+    found, pairs = groups(), list(seen)
+    monkeypatch.setattr(line_dedup, "ROUNDS", 0, raising=False)
+    monkeypatch.setattr(line_dedup, "CROWD", 1 << 30, raising=False)
+    assert groups() == found and 1 < len(set(found)) < len(texts)  # as without rounds, where every pair leaves the bucket
+    assert 8 * pairs[-1] <= seen[-1] > 4 * len(texts) and sum(pairs[:-1]) <= 5 * len(texts), (pairs, seen)
+
+
 def test_edit_similarity_by_brute_force(spark):
     import random
 
