@@ -123,3 +123,23 @@ def test_packer_space_is_bounded():
         assert len(p.open) <= 5
     assert all(sum(len(x[2]) for x in c) == 400 for c in closed)
     assert zlib.crc32(b"") == 0
+
+
+def test_plain_texts_by_bytes():
+    from formlake.llm import tokens
+
+    for c in [chr(k) for k in range(0x3000)] + ["\U0001f600", "\ud800"]:
+        for text in (c, "ab " + c + " cd"):
+            assert tokens._plain(text) == bool(tokens._PLAIN.fullmatch(text)), repr(text)
+    assert tokens._plain("")
+
+
+def test_unseen_parts_are_those_of_the_library():
+    import public_tokenizers
+
+    from formlake.llm import tokens
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = tokens.TextEncoder(public_tokenizers.path(name))
+        for text in (" the", "the zyxwv", "  two", " <|endoftext|> x", "a <|EndOfText|>", " 12", " caf\u00e9 nai\u0308ve", "\tx", " ", "it's a'll", " A" * 90):
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc._library.encode(text, add_special_tokens=False).ids, text
