@@ -190,10 +190,9 @@ def _tokenised(docs: DataFrame, text: str, id_col: str, tokenizer: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         kind = _kind(enc.vocabulary, end_id)
-        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for part in _slices(b):
-                ids = [np.frombuffer(enc.encode(x or "") + end, "<u4").astype(kind).tobytes() for x in part.column(1).to_pylist()]
+                ids = [x.astype(kind).tobytes() for x in enc.encode_all(part.column(1).to_pylist(), end_id)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     id_kind = docs.schema[id_col].dataType.simpleString()

@@ -143,3 +143,22 @@ def test_unseen_parts_are_those_of_the_library():
         enc = tokens.TextEncoder(public_tokenizers.path(name))
         for text in (" the", "the zyxwv", "  two", " <|endoftext|> x", "a <|EndOfText|>", " 12", " caf\u00e9 nai\u0308ve", "\tx", " ", "it's a'll", " A" * 90):
             assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc._library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_many_texts_at_once_have_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    from formlake.llm import tokens
+
+    library, drawn = Tokenizer.from_file(BYTES), random.Random(5)
+    pieces = [*PLAIN, *"aZé07'\"-. \t\n\rx", "'re", "'ve", "\n\n", " '", "''", "é" * 40, "unsurprisingly" * 2]
+    texts = ["".join(drawn.choices(pieces, k=drawn.randint(0, 25))) for _ in range(2000)] + ["", None, "=" * 5000, "漢 字"]
+    held = TextEncoder(BYTES, limit=300)
+    for at in range(0, len(texts), 400):  # the table starts anew in between
+        for text, ids in zip(texts[at : at + 400], held.encode_all(texts[at : at + 400], 2), strict=False):
+            assert ids.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2], text
+    for text in texts[:1500]:
+        if text and tokens._plain(text):
+            signs = b"\0" + text.encode("latin-1") + bytes(3)
+            cuts = tokens.part_starts(np.frombuffer(signs, np.uint8))[1:-2]
+            assert [signs[a:b].decode("latin-1") for a, b in zip(cuts, cuts[1:], strict=False)] == tokens._WITH_BLANKS.findall(text)
