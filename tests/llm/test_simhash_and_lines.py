@@ -380,3 +380,13 @@ def test_edit_similar_leaves_out_no_pair(spark):
     want = {k for k, (x, y) in enumerate(rows) if near(x, y) or near(spread(x), spread(y))}
     assert {r["n"] for r in line_dedup.edit_similar(df, "x", "y", 0.8).collect()} == want
     assert {0, 1} <= want and 10 < len(want) < len(rows) - 10
+
+
+def test_buckets_of_short_lines_reckon_each_text_once(spark):
+    from pyspark.sql import functions as F
+
+    lines = spark.createDataFrame([(1, "a line of few words"), (2, "a line of fewer words")], "h1 long, norm string")
+    found = line_dedup.short_buckets(lines)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 2 and plan.count("split(") == 1, (plan.count("regexp_replace("), plan.count("split("))
+    assert {r["h1"] for r in found.groupBy("bucket").agg(F.collect_set("h1").alias("h")).filter("size(h) = 2").select(F.explode("h").alias("h1")).collect()} == {1, 2}
