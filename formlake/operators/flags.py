@@ -45,10 +45,11 @@ def span_confidence(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     ``spans``: (doc_id, field, s, e); ``tokens``: (doc_id, pos, ts, te, logp).
     Fields without a token have no row in ``tokens`` and get null scores. ``pos``, of any
     type that can be ordered, should be unique in a document: of tokens at one place any may be the first.
+    A token without a score counts nowhere.
     """
     t = tokens.withColumnRenamed("doc_id", "_doc")
     met = spans.join(t.hint("merge"), (F.col("doc_id") == F.col("_doc")) & (F.col("ts") < F.col("e")) & (F.col("te") > F.col("s")), "left")
-    return met.groupBy("doc_id", "field").agg(F.count("logp").alias("n_tokens"), F.exp(F.min("logp")).alias("conf_min"), F.exp(F.min_by("logp", "pos")).alias("conf_first"), F.exp(F.avg("logp")).alias("conf_mean"))
+    return met.groupBy("doc_id", "field").agg(F.count("logp").alias("n_tokens"), F.exp(F.min("logp")).alias("conf_min"), F.exp(F.min_by("logp", F.when(F.col("logp").isNotNull(), F.col("pos")))).alias("conf_first"), F.exp(F.avg("logp")).alias("conf_mean"))
 
 
 def field_confidences(pages: DataFrame, tokens: DataFrame, values: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -86,3 +86,11 @@ def test_first_of_repeated_line_numbers(spark, tmp_path):
 def test_field_confidences_broadcast_nothing(spark):
     plan = catalogue.queries()["j08_field_confidences"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_first_token_with_a_score(spark, tmp_path):
+    """A token without a score is not the first one of its span."""
+    duckdb.execute(f"copy (select unnest([1, 2, 14])::bigint as o_orderkey) to '{tmp_path}/orders.parquet' (format parquet)")
+    lines = "values (14, 1, null), (14, 2, 0.25), (14, 1, null), (14, 2, 0.5), (2, 1, null), (2, 1, null)"
+    duckdb.execute(f"copy (select a::bigint as l_orderkey, b::int as l_linenumber, c::double as l_discount from ({lines}) t(a, b, c)) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    _against_sql(spark, tmp_path, "j03_interval_overlap")
