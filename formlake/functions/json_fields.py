@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from formlake.functions.text import let
 
 
+_JAVA_BLANKS = " \t\n\x0b\f\r"
+
+
 def outermost_object(c: Column) -> Column:
     """From the first opening to the last closing brace, '' without one."""
     return F.regexp_extract(c, r"(?s)(\{.*\})", 1)
@@ -42,29 +46,58 @@ def value_span(c: Column, key: str) -> Column:
 
     Offsets count characters from 0, the end excluded. Of repeated keys the last
     counts, as for a JSON reader. ``kind`` is string, array or bare; a string's outer
-    span includes its quotes, a bare value has no blanks around it. The scan
-    keeps offsets by what it leaves: behind the last match stands the last
+    span includes its quotes, a bare value has no blanks around it. A lone match
+    stands where its text does first; behind the last of several stands the last
     piece of the text split at all of them.
     """
     whole, head = _located(key)
-    found = F.try_element_at(F.regexp_extract_all(c, F.lit(whole), 0), F.lit(-1))
-    behind = F.element_at(F.split(c, whole, -1), -1)
 
-    def of(match: Column) -> Column:
-        body = F.regexp_replace(match, head, "")
-        end = F.length(c) - F.length(behind)
-        start = end - F.length(body)
-        wrapped = lambda a, b: F.startswith(body, F.lit(a)) & F.endswith(body, F.lit(b)) & (F.length(body) >= 2)
-        bare = F.regexp_replace(body, r"\s+\z", "")
-        first = start + F.length(bare) - F.length(F.regexp_replace(bare, r"^\s+", ""))
+    def of(found: Column) -> Column:
+        match = F.element_at(found, -1)
+        behind = lambda: F.element_at(F.split(c, whole, -1), -1)
+        end = F.when(F.size(found) == 1, F.call_function("instr", c, match) - 1 + F.length(match)).otherwise(F.length(c) - F.length(behind()))
+        placed = F.struct(F.regexp_replace(match, head, "").alias("body"), end.alias("end"))
+        return F.when(F.size(found) > 0, let(placed, told))
 
-        def span(kind: str, s: Column, e: Column, outer: int = 0) -> Column:
-            return F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), (s - outer).alias("outer_s"), (e + outer).alias("outer_e"), F.substring(c, s + 1, e - s).alias("raw"))
-
-        told = F.when(wrapped('"', '"'), span("string", start + 1, end - 1, 1)).when(wrapped("[", "]"), span("array", start, end))
-        return F.when(match.isNotNull(), told.otherwise(span("bare", first, start + F.length(bare))))
+    def told(at: Column) -> Column:
+        body, start = at["body"], at["end"] - F.length(at["body"])
+        wrapped = lambda a, b: F.startswith(body, F.lit(a)) & F.endswith(body, F.lit(b)) & (F.length(body) >= 2)
 
-    return let(found, of)
+        def span(kind: str, s: Column, raw: Column, outer: int = 0) -> Column:
+            e = s + F.length(raw)
+            return F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), (s - outer).alias("outer_s"), (e + outer).alias("outer_e"), raw.alias("raw"))
+
+        inside = F.substring(body, F.lit(2), F.length(body) - 2)
+        bare = let(F.regexp_replace(body, r"\s+\z", ""), lambda b: let(F.regexp_replace(b, r"^\s+", ""), lambda x: span("bare", start + F.length(b) - F.length(x), x)))
+        return F.when(wrapped('"', '"'), span("string", start + 1, inside, 1)).when(wrapped("[", "]"), span("array", start, body)).otherwise(bare)
+
+    return let(F.regexp_extract_all(c, F.lit(whole), 0), of)
+
+
+def text_spans(keys: Sequence[str]) -> Callable[[str], list[tuple[str, int, int, int] | None]]:
+    """``value_span`` of each key over a text in Python: (kind, s, e, how far the outer span goes beyond)."""
+    patterns = [(f'"{key}"', re.compile(whole, re.ASCII), re.compile(head, re.ASCII)) for key, (whole, head) in zip(keys, map(_located, keys), strict=True)]
+
+    def one(text: str, name: str, whole: re.Pattern, head: re.Pattern) -> tuple[str, int, int, int] | None:
+        if name not in text:
+            return None
+        match = None
+        for match in whole.finditer(text):
+            pass
+        if match is None:
+            return None
+        body = match[0][head.match(match[0]).end() :]
+        end = match.end()
+        start = end - len(body)
+        if len(body) >= 2 and body[0] == body[-1] == '"':
+            return "string", start + 1, end - 1, 1
+        if len(body) >= 2 and body[0] == "[" and body[-1] == "]":
+            return "array", start, end, 0
+        bare = body.rstrip(_JAVA_BLANKS)
+        first = start + len(bare) - len(bare.lstrip(_JAVA_BLANKS))
+        return "bare", first, start + len(bare), 0
+
+    return lambda text: [one(text, *p) for p in patterns]
 
 
 def value_as_parsed(span: Column, separator: str = " ") -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formlake.functions import dates, json_fields
-from formlake.operators import ordered
 
 
 def first_reason(rows: DataFrame, value: Column, checks: Sequence[tuple[Column, str]]) -> DataFrame:
@@ -61,23 +64,74 @@ def field_confidences(pages: DataFrame, tokens: DataFrame, values: DataFrame, fi
     ``missing`` without the key, and ``decode_mismatch`` for all fields of a page whose
     tokens don't add up to its text; these have no tokens and null scores. A null raw text is empty.
     """
-    placed = ordered.token_spans(tokens.select("doc_id", "pos", F.coalesce("text", F.lit("")).alias("text"), "logp"), ["doc_id"], "pos", "text")
-    told = tokens.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "").alias("told"))
-    raw = pages.select("doc_id", F.coalesce("raw", F.lit("")).alias("raw")).join(told.hint("merge"), "doc_id", "left")  # tokens, spans and values grow with the pages and look small before they are made: none is sent to the driver
-    whole = F.col("raw") == F.coalesce("told", F.lit(""))
-    every = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), json_fields.value_span(F.col("raw"), f).alias("v")) for f in fields])).alias("x")
-    spans = raw.select("doc_id", whole.alias("whole"), every).select("doc_id", "whole", "x.field", "x.v")
-    empty = F.col("v.e") <= F.col("v.s")
-    spans = spans.select(
-        "doc_id", "field",
-        F.when(~F.col("whole"), "decode_mismatch").when(F.col("v").isNull(), "missing").otherwise(F.col("v.kind")).alias("span"),
-        F.when(F.col("whole"), F.when(empty, F.col("v.outer_s")).otherwise(F.col("v.s"))).alias("s"),
-        F.when(F.col("whole"), F.when(empty, F.col("v.outer_e")).otherwise(F.col("v.e"))).alias("e"),
-        json_fields.value_as_parsed(F.col("v")).alias("parsed"),
-    )
-    scored = span_confidence(spans, placed.select("doc_id", "pos", F.col("s").alias("ts"), F.col("e").alias("te"), "logp"))
-    met = spans.hint("merge").join(scored.hint("merge"), ["doc_id", "field"]).join(values.select("doc_id", "field", "value").hint("merge"), ["doc_id", "field"], "left")
-    return met.select("doc_id", "field", "span", "n_tokens", "conf_min", "conf_first", "conf_mean", F.coalesce((F.col("n_tokens") > 0) & (F.col("parsed") == F.col("value")), F.lit(False)).alias("span_matches_value"))
+    token = F.struct("pos", F.coalesce("text", F.lit("")).alias("text"), "logp")
+    told = tokens.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(token)), lambda t: t.dropFields("pos")).alias("tokens"))
+    stored = values.groupBy("doc_id").agg(F.collect_list(F.struct("field", "value")).alias("stored"))
+    return page_confidences(pages.join(told.hint("merge"), "doc_id", "left"), stored, fields)
+
+
+def page_confidences(pages: DataFrame, stored: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """As ``field_confidences``, of ``pages`` (doc_id, raw, tokens) and ``stored`` (doc_id, stored) with a row for each page.
+
+    ``tokens`` is an array of struct<text, logp> in order, ``stored`` one of struct<field, value>. One Arrow pass
+    scores a page's fields inside its row, so only what was found, and not the tokens, meets the stored values.
+    """
+    kind = pages.schema["doc_id"].dataType.simpleString()
+    texts, logps = F.transform("tokens", lambda t: F.coalesce(t["text"], F.lit(""))), F.transform("tokens", lambda t: t["logp"].cast("double"))
+    flat = pages.select("doc_id", F.coalesce("raw", F.lit("")).alias("raw"), *[F.coalesce(c, F.array().cast(f"array<{k}>")).alias(n) for c, k, n in ((texts, "string", "texts"), (logps, "double", "logps"))])
+    found = flat.mapInArrow(_scoring(tuple(fields)), f"doc_id {kind}, found array<{_FOUND}>")
+    met = found.hint("merge").join(stored.hint("merge"), "doc_id", "left")  # both grow with the pages and look small before they are made: neither is sent to the driver
+    each = met.select("doc_id", "stored", F.inline("found"))
+    plain = (F.col("kind") == "string") & ~F.rlike("raw", F.lit(r'["\\\x00-\x1f]'))  # most texts are what a JSON reader makes of them
+    parsed = F.when(plain, F.btrim("raw")).when(F.col("kind").isNotNull(), json_fields.value_as_parsed(F.struct("kind", "raw")))
+    same = (F.col("n_tokens") > 0) & F.exists("stored", lambda v: (v["field"] == F.col("field")) & (v["value"] == F.col("parsed")))
+    told = each.select("doc_id", "stored", "field", "span", "n_tokens", parsed.alias("parsed"), *[F.exp(c).alias(f"conf_{c}") for c in ("min", "first", "mean")])
+    return told.select("doc_id", "field", "span", "n_tokens", "conf_min", "conf_first", "conf_mean", F.coalesce(same, F.lit(False)).alias("span_matches_value"))
+
+
+AT_ONCE = 256
+_FOUND = "struct<field:string,span:string,n_tokens:bigint,min:double,first:double,mean:double,kind:string,raw:string>"
+
+
+def _scoring(fields: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The Arrow pass of ``page_confidences``: (doc_id, found), a struct for each field with logarithms for scores; a worker holds AT_ONCE pages at a time."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.string()]
+    names = [x.partition(":")[0] for x in _FOUND[7:-1].split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = json_fields.text_spans(fields)
+        for b in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
+            lengths, scores = pc.utf8_length(b["texts"].flatten()).to_numpy().tolist(), b["logps"].flatten()
+            scores = scores.to_pylist() if scores.null_count else scores.to_numpy().tolist()
+            cuts = [0, *accumulate(b["texts"].value_lengths().to_numpy().tolist())]
+            told = pc.equal(pc.binary_join(b["texts"].cast(pa.list_(pa.string())), ""), b["raw"]).to_pylist()
+            rows = []
+            for k, raw in enumerate(b["raw"].to_pylist()):
+                if not told[k]:
+                    rows += [(f, "decode_mismatch", 0, None, None, None, None, None) for f in fields]
+                    continue
+                ends, own = list(accumulate(lengths[cuts[k] : cuts[k + 1]])), scores[cuts[k] : cuts[k + 1]]
+                for f, v in zip(fields, spans(raw), strict=True):
+                    if v is None:
+                        rows.append((f, "missing", 0, None, None, None, None, None))
+                        continue
+                    kind, s, e, outer = v
+                    piece = raw[s:e]
+                    if e <= s:
+                        s, e = s - outer, e + outer
+                    p = []
+                    for at in range(bisect_right(ends, s), len(ends)):
+                        if (ends[at - 1] if at else 0) >= e:
+                            break
+                        if own[at] is not None:
+                            p.append(own[at])
+                    least = min([x for x in p if x == x] or p, default=None)  # NaN is the greatest
+                    rows.append((f, kind, len(p), least, p[0] if p else None, sum(p) / len(p) if p else None, kind, piece))
+            flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            found = pa.ListArray.from_arrays(pa.array(range(0, len(rows) + 1, len(fields)), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], found], names=["doc_id", "found"])
+
+    return run
 
 
 #: Cells whose least token probability is below this are worth a look.

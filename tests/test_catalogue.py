@@ -94,3 +94,8 @@ def test_first_token_with_a_score(spark, tmp_path):
     lines = "values (14, 1, null), (14, 2, 0.25), (14, 1, null), (14, 2, 0.5), (2, 1, null), (2, 1, null)"
     duckdb.execute(f"copy (select a::bigint as l_orderkey, b::int as l_linenumber, c::double as l_discount from ({lines}) t(a, b, c)) to '{tmp_path}/lineitem.parquet' (format parquet)")
     _against_sql(spark, tmp_path, "j03_interval_overlap")
+
+
+def test_field_confidences_shuffle_pages_not_tokens(spark):
+    plan = catalogue.queries()["j08_field_confidences"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join ") == 1
