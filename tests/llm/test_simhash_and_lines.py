@@ -1,10 +1,12 @@
 import collections
+import math
 import random
 import re
 
 import numpy as np
 import pytest
 from conftest_llm import DOCS, document, prose  # noqa: F401
+from pyspark.sql import functions as F
 
 from formlake.llm import components, line_dedup, simhash_dedup
 
@@ -390,3 +392,26 @@ def test_buckets_of_short_lines_reckon_each_text_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") <= 2 and plan.count("split(") == 1, (plan.count("regexp_replace("), plan.count("split("))
     assert {r["h1"] for r in found.groupBy("bucket").agg(F.collect_set("h1").alias("h")).filter("size(h) = 2").select(F.explode("h").alias("h1")).collect()} == {1, 2}
+
+
+def test_long_texts_without_their_common_ends(spark):
+    """Bounds that are tried first, and ends that are cut off, leave the decision of the whole edit distance as it is."""
+    draw = random.Random(9)
+    letters = "ab \u00e9\U0001f600"
+    base = "".join(draw.choices(letters, k=line_dedup.LONG + 60))
+    pairs = [(base, base), (base, base[:-1]), ("", ""), ("", "a"), ("\u00e9x", "\u00e9y"), ("aaa", "aa"), ("abab", "ab")]
+    for edits in (3, 60, 120, 240, 480):
+        y = list(base)
+        for at in sorted(draw.sample(range(700, 1500), edits), reverse=True):
+            draw.choice([lambda: y.pop(at), lambda: y.insert(at, "q"), lambda: y.__setitem__(at, "z")])()
+        pairs.append((base, "".join(y)))
+    rows = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(pairs)], "k int, x string, y string")
+    d = F.levenshtein("x", "y")
+    near = [line_dedup._within_most(F.col("x"), F.col("y"), d + n).alias(f"w{i}") for i, n in enumerate((-1, 0, 1, 500))]
+    got = rows.select("k", line_dedup._common_length("x", "y").alias("n"), d.alias("d"), *near).collect()
+    for k, n, dist, *w in got:
+        x, y = pairs[k]
+        assert n == next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+        assert w[1:] == [True] * 3 and (w[0] is False or dist == 0)
+    like = {r["k"] for r in line_dedup.edit_similar(rows.filter("k < 2 or k > 6"), "x", "y", 0.9).collect()}
+    assert like == {k for k, _, dist, *_ in got if (k < 2 or k > 6) and dist <= math.floor(0.1 * max(map(len, pairs[k])) + 1e-6)}
